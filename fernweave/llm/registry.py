@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import decontaminate, mixing, near_dup, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_quality_rules": quality.OP6_SQL,
+    "op7_mix_sources": mixing.OP7_SQL,
+}
