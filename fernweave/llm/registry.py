@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dup, quality, secret_scan
+from . import decontaminate, mixing, near_dup, quality, secret_scan, span_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": span_dedup.op2_substring_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
+    "op5_resolve_revisits": warc.op5_resolve_revisits,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": span_dedup.OP2_SQL,
+    "op5_resolve_revisits": warc.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
 }
