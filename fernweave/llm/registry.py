@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dup, quality, secret_scan, span_dedup, warc
+from . import decontaminate, licence_scan, mixing, near_dup, quality, secret_scan, span_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_scan": licence_scan.op1_licence_scan,
     "op2_substring_dedup": span_dedup.op2_substring_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
