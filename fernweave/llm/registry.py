@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licence_scan, mixing, near_dup, quality, secret_scan, span_dedup, token_counts, warc
+from . import decontaminate, licence_scan, lm_score, mixing, near_dup, quality, secret_scan, span_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": licence_scan.op1_licence_scan,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_resolve_revisits": warc.op5_resolve_revisits,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_token_counts": token_counts.op10_token_counts,
 }
