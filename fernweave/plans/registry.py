@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import extract_queries, graph_queries, history_queries, scalar_queries
+from .query import Query, gather
+
+QUERIES: dict[str, Query]
+SQL: dict[str, str]
+QUERIES, SQL = gather(scalar_queries, extract_queries, history_queries, graph_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
