@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..operators import text_extract, tree_extract
 from ..operators.store import Graph, GraphStore, empty
 from ..sources import analyzer, files, history
+from ..sources.shared import stored
 
 _TEXT = {"css": text_extract.css, "html": text_extract.html, "razor": text_extract.razor}
 _TREE = ("xml", "xaml", "csproj", "json", "npm", "pubspec")
@@ -78,7 +79,8 @@ def index(spark: SparkSession, root: str, store: GraphStore, repo_key: str | Non
         base = history.with_history(base, history.file_metadata(log))
     else:
         base = base.withColumns({c: F.lit(None).cast("timestamp") for c in ("created", "last_modified")} | {c: F.expr(f"cast(array() as {schemas.FILE[c].dataType.simpleString()})") for c in ("authors", "commits", "tags")})
-    symbols, links = extract_all(chosen, inputs.facts, least)
+    base = stored(base)
+    symbols, links = map(stored, extract_all(chosen, inputs.facts, least))  # every table below reads them
     graph = graph.upsert_files(base.withColumn("ordinal", F.lit(0))).upsert_symbols(symbols).link_symbols(links)
     graph = graph.sweep(chosen.select("file_key"), symbols.select("key"))
     packages = symbols.where("kind = 'Dependency'")

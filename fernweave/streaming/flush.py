@@ -8,21 +8,13 @@ endpoint may come in a later batch than the edge.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import Graph, GraphStore
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new place in the folder that the session shares; a temporary one only where it names none, as in tests."""
-    have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    named = have.get() if have.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or tempfile.mkdtemp(prefix='fernweave-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def open_stream(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
@@ -42,7 +34,7 @@ def run_batches(stream: DataFrame, folder: str, flush: Callable[[DataFrame, int]
 
 def count_stream(spark: SparkSession, path: str, key: str, files_per_batch: int = 100) -> DataFrame:
     """(key, n) over a Parquet file stream: each batch writes its partial counts under its own number."""
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     stream = open_stream(spark, path, files_per_batch)
 
     def flush(batch: DataFrame, number: int) -> None:
