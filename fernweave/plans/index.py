@@ -37,7 +37,7 @@ def extract_all(chosen: DataFrame, facts: DataFrame | None = None, least: str =
     """(symbols with ordinal, relationships) of dispatched files: one branch per handler, then a union."""
     spark = chosen.sparkSession
     symbols, links = empty(spark, schemas.SYMBOL).withColumn("ordinal", F.lit(0)), empty(spark, schemas.RELATIONSHIP)
-    text = chosen.withColumn("content", F.decode("content", F.lit("UTF-8")))
+    text = chosen.withColumn("content", F.decode("content", "UTF-8"))
 
     def numbered(rows: DataFrame) -> DataFrame:
         return rows if "ordinal" in rows.columns else rows.withColumn("ordinal", F.coalesce("start_line", F.lit(0)))

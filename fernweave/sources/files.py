@@ -93,17 +93,11 @@ def dispatch(files: DataFrame) -> DataFrame:
     The dimension has one row per format, so it is folded into an expression, not joined.
     """
     name = F.lower(S.file_name(F.col("relative_path")))
-    extension = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-
-    def pick(place: int) -> Column:
-        chosen = F.when(F.lit(False), F.lit(""))
-        for whole in (True, False):
-            for handler in HANDLERS:
-                if (not handler[1].startswith(".")) == whole:
-                    chosen = chosen.when((name if whole else extension) == handler[1], handler[place])
-        return chosen
-
-    return files.withColumns({"handler": pick(0), "language": pick(2), "technology": pick(3)})
+    entries = [x for h, e, lang, tech in HANDLERS for x in (F.lit(e), F.struct(F.lit(h).alias("handler"), F.lit(lang).alias("language"), F.lit(tech).alias("technology")))]
+    known = F.create_map(*entries)
+    whole, by_extension = F.try_element_at(known, name), F.try_element_at(known, F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    chosen = F.when(name.startswith("."), by_extension).otherwise(F.coalesce(whole, by_extension))
+    return files.withColumn("_chosen", chosen).select(*files.columns, *(F.col(f"_chosen.{c}").alias(c) for c in ("handler", "language", "technology")))
 
 
 def nearest_root(files: DataFrame, roots: DataFrame) -> DataFrame:
