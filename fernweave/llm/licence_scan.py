@@ -145,7 +145,9 @@ class LicenceModel:
 
 def train(docs: DataFrame, background: int = BACKGROUND) -> LicenceModel:
     """The model, with negative paragraphs from `background` documents of the corpus, those of least hash."""
-    sample = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id", "text")).limit(background)
+    hashed = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), "text")
+    last = hashed.select("h").distinct().orderBy("h").limit(background).agg(F.max("h")).first()[0]  # only hashes travel
+    sample = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h")
     lines = [line for row in sample.collect() for line in row["text"].split("\n")]
     return LicenceModel([x[:2000] for x in lines if not any(a in x.lower() for a in ANCHORS)][: 4 * background])
 
