@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import scalars as S
+from ..sources.shared import stored
 
 
 def last_wins(rows: DataFrame, key: str | list[str], order: str | list[str]) -> DataFrame:
@@ -99,6 +100,10 @@ class Graph:
     def put(self, **tables: DataFrame) -> Graph:
         return Graph(self.spark, self.tables | tables)
 
+    def settle(self, *names: str) -> Graph:
+        """The same graph, these tables computed once and read from the shared folder from here on."""
+        return self.put(**{name: stored(self[name]) for name in names})
+
     def drop_nodes(self, label: str, gone: DataFrame) -> Graph:
         """Without the nodes of these keys (column _gone) and without every edge at them."""
         key = schemas.NODES[label][0]
@@ -164,7 +169,7 @@ class Graph:
         """Without the symbols that flushed files (file_key) declared and that keep (key) lacks; safe spares those another file declares."""
         files = flushed.select(F.col("file_key").alias("src_key")).distinct()
         stale = self["declares"].join(files, "src_key", "left_semi").select(F.col("dst_key").alias("_gone")).distinct()
-        stale = stale.join(keep.select(F.col("key").alias("_gone")), "_gone", "left_anti")
+        stale = stored(stale.join(keep.select(F.col("key").alias("_gone")), "_gone", "left_anti"))
         if safe:
             dropped = self["declares"].join(files, "src_key", "left_semi").join(stale.select(F.col("_gone").alias("dst_key")), "dst_key", "left_semi")
             others = self["declares"].join(files, "src_key", "left_anti").select(F.col("dst_key").alias("_gone"))
@@ -236,6 +241,7 @@ class Graph:
 
         def remove(label: str, gone: DataFrame) -> None:
             nonlocal self_at
+            gone = stored(gone)  # every table at these nodes reads them
             counts.append(gone.agg(F.lit(label).alias("label"), F.count("*").alias("purged")))
             self_at = self_at.drop_nodes(label, gone)
 

@@ -81,7 +81,8 @@ def index(spark: SparkSession, root: str, store: GraphStore, repo_key: str | Non
         base = base.withColumns({c: F.lit(None).cast("timestamp") for c in ("created", "last_modified")} | {c: F.expr(f"cast(array() as {schemas.FILE[c].dataType.simpleString()})") for c in ("authors", "commits", "tags")})
     base = stored(base)
     symbols, links = map(stored, extract_all(chosen, inputs.facts, least))  # every table below reads them
-    graph = graph.upsert_files(base.withColumn("ordinal", F.lit(0))).upsert_symbols(symbols).link_symbols(links)
+    graph = graph.upsert_files(base.withColumn("ordinal", F.lit(0))).settle("file", "author").upsert_symbols(symbols).settle("symbol", "declares")
+    graph = graph.link_symbols(links)
     graph = graph.sweep(chosen.select("file_key"), symbols.select("key"))
     packages = symbols.where("kind = 'Dependency'")
     for urls in _urls(packages, inputs):

@@ -30,8 +30,8 @@ def keys(rows, *columns):
     return sorted(tuple(r) if len(columns) > 1 else r[0] for r in rows.select(*columns).collect())
 
 
-@pytest.fixture
-def graph(spark):
+@pytest.fixture(scope="module")
+def graph(spark, tmp_path_factory):
     g = Graph(spark).upsert_project("r1", "r1").upsert_project("r2", "r2")
     g = g.upsert_files(files(spark, ("a.cs", "r1"), ("b.css", "r2"), ("c.cs", None), authors=["Ann <a>"]))
     g = g.upsert_symbols(symbols(spark, ("s1", "a.cs", "one", 0, "My.AppX"), ("s2", "a.cs", "two", 1), ("s3", "b.css", "three", 0), ("s4", "c.cs", "four", 0)))
@@ -39,7 +39,8 @@ def graph(spark):
     dep = "key string, name string, version string"
     g = g.upsert_dependencies(spark.createDataFrame([("d1", "d1", "1"), ("d2", "d2", "1")], dep), "r1").upsert_dependencies(spark.createDataFrame([("d2", "d2", "2")], dep), "r2")
     g = g.upsert_commits(commits(spark, ("h1", "Ann", {"a.cs": False}, 0)), "r1").upsert_commits(commits(spark, ("h2", "Bob", {"b.css": False}, 0), ("h3", "Ann", {"b.css": True}, 1)), "r2")
-    return g.upsert_commits(commits(spark, ("h4", "Cy", {"z": True}, 0)), None)
+    g = g.upsert_commits(commits(spark, ("h4", "Cy", {"z": True}, 0)), None)
+    return GraphStore(spark, str(tmp_path_factory.mktemp("graph") / "g")).commit(g)
 
 
 def sound(g):
