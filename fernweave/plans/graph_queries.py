@@ -17,11 +17,12 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(rows, "l_partkey", ["_d", "_o", "_n"]).select("l_partkey", "l_shipdate", "l_suppkey", "l_quantity")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS p_brand FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 <> 0""")
+@query("SELECT p_partkey, CASE WHEN p_size <= 40 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size > 10 THEN p_brand END AS p_brand FROM part")
 def merge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts: small ones are new, large ones stay, those between are updated."""
     part = table(spark, sf_dir, "part")
-    existing = part.where("p_partkey % 2 = 0").select("p_partkey", "p_name", "p_brand")
-    return merge(existing, part.where("p_partkey % 3 <> 0").select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey")
+    existing = part.where("p_size > 10").select("p_partkey", "p_name", "p_brand")
+    return merge(existing, part.where("p_size <= 40").select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -48,24 +49,25 @@ def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations as projects, customers as files, parts as symbols, suppliers as dependencies, orders as commits, priorities as authors."""
+    """Nations outside region 0 as projects, customers as files (of no project if in debt), parts as symbols, suppliers as dependencies, orders as commits, priorities as authors."""
     t = lambda name: table(spark, sf_dir, name)
     key = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
-    owned = t("customer").where("c_nationkey < 20").select(key("n", "c_nationkey").alias("src_key"), key("c", "c_custkey").alias("dst_key"))
+    projects = t("nation").where("n_regionkey > 0")
+    owned = t("customer").where("c_acctbal >= 0").select(key("n", "c_nationkey").alias("src_key"), key("c", "c_custkey").alias("dst_key"))
     bought = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(key("c", "o_custkey").alias("src_key"), key("p", "l_partkey").alias("dst_key")).distinct()
     base = Graph(spark)
     shape = lambda rows, label: merge(base[label], rows, "name" if label == "author" else "hash" if label == "commit" else "key")
     return base.put(
-        project=shape(t("nation").where("n_nationkey < 15").select(key("n", "n_nationkey").alias("key"), F.col("n_name").alias("name")), "project"),
+        project=shape(projects.select(key("n", "n_nationkey").alias("key"), F.col("n_name").alias("name")), "project"),
         file=shape(t("customer").select(key("c", "c_custkey").alias("key"), key("c", "c_custkey").alias("path")), "file"),
         symbol=shape(t("part").select(key("p", "p_partkey").alias("key"), F.col("p_name").alias("name"), F.concat(key("p", "p_partkey"), F.lit("."), F.lower("p_brand")).alias("file_path")), "symbol"),
         dependency=shape(t("supplier").select(key("s", "s_suppkey").alias("key"), F.col("s_name").alias("name")), "dependency"),
         commit=shape(t("orders").select(key("o", "o_orderkey").alias("hash")), "commit"),
         author=shape(t("orders").select(F.col("o_orderpriority").alias("name")).distinct(), "author"),
-        has_file=owned.join(t("nation").where("n_nationkey < 15").select(key("n", "n_nationkey").alias("src_key")), "src_key", "left_semi"),
+        has_file=owned.join(projects.select(key("n", "n_nationkey").alias("src_key")), "src_key", "left_semi"),
         declares=bought,
-        depends_on=t("supplier").where("s_nationkey < 15").select(key("n", "s_nationkey").alias("src_key"), key("s", "s_suppkey").alias("dst_key")),
-        part_of_project=t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey < 15").select(key("o", "o_orderkey").alias("src_key"), key("n", "c_nationkey").alias("dst_key")),
+        depends_on=t("supplier").join(projects, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(key("n", "s_nationkey").alias("src_key"), key("s", "s_suppkey").alias("dst_key")),
+        part_of_project=t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(projects, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select(key("o", "o_orderkey").alias("src_key"), key("n", "c_nationkey").alias("dst_key")),
         committed=t("orders").select(F.col("o_orderpriority").alias("src_key"), key("o", "o_orderkey").alias("dst_key")),
     )
 
@@ -84,7 +86,7 @@ def declares_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert_symbols(rows)["declares"]
 
 
-@query("SELECT 'n' || c_nationkey AS src_key, 'c' || c_custkey AS dst_key FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey < 15")
+@query("SELECT 'n' || c_nationkey AS src_key, 'c' || c_custkey AS dst_key FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey > 0 AND c_acctbal >= 0")
 def optional_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files keep their row without a project, and get an edge only to one that exists."""
     none = F.expr("cast(array() as array<string>)")
@@ -92,7 +94,7 @@ def optional_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("c"), "c_custkey").alias("file_key"), F.col("c_name").alias("file_name"), F.col("c_name").alias("relative_path"), F.lit("").alias("file_hash"), null.alias("created"), null.alias("last_modified"),
         F.expr("cast(array() as array<struct<name: string, first_commit: timestamp, last_commit: timestamp, commit_count: int>>)").alias("authors"), none.alias("commits"), none.alias("tags"),
-        F.when(F.col("c_nationkey") < 20, F.concat(F.lit("n"), "c_nationkey")).alias("repo_key"), F.lit("").alias("namespace"), F.lit("x").alias("language"), F.lit("x").alias("technology"), F.lit(0).alias("ordinal"),
+        F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("n"), "c_nationkey")).alias("repo_key"), F.lit("").alias("namespace"), F.lit("x").alias("language"), F.lit("x").alias("technology"), F.lit(0).alias("ordinal"),
     )
     return Graph(spark).put(project=_graph(spark, sf_dir)["project"]).upsert_files(rows)["has_file"]
 
@@ -112,22 +114,23 @@ def assembly_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzer.assembly_dependencies(references).distinct()
 
 
-@query(f"""WITH {_BOUGHT}, flushed AS (SELECT 'c' || c_custkey AS key FROM customer WHERE c_nationkey < 5), kept AS (SELECT 'p' || p_partkey AS key FROM part WHERE p_size > 10),
+@query(f"""WITH {_BOUGHT}, flushed AS (SELECT 'c' || c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING'), kept AS (SELECT 'p' || p_partkey AS key FROM part WHERE p_size > 10),
 stale AS (SELECT DISTINCT dst_key FROM bought WHERE src_key IN (SELECT key FROM flushed) AND dst_key NOT IN (SELECT key FROM kept))
 SELECT src_key, dst_key FROM bought WHERE dst_key NOT IN (SELECT dst_key FROM stale)""")
 def stale_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flushed = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.concat(F.lit("c"), "c_custkey").alias("file_key"))
+    flushed = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("file_key"))
     keep = table(spark, sf_dir, "part").where("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("key"))
     return _graph(spark, sf_dir).sweep(flushed, keep)["declares"].select("src_key", "dst_key")
 
 
-@query(f"""WITH {_BOUGHT}, gone AS (SELECT 'c' || c_custkey AS key FROM customer WHERE c_nationkey = 3)
-SELECT 'p' || p_partkey AS key, CASE WHEN 'p' || p_partkey IN (SELECT dst_key FROM bought WHERE src_key IN (SELECT key FROM gone)) THEN true END AS deleted FROM part
-UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_nationkey = 3 THEN true END FROM customer""")
+@query(f"""WITH {_BOUGHT}, gone AS (SELECT 'c' || c_custkey AS key FROM customer WHERE c_mktsegment = 'MACHINERY')
+SELECT 'p' || p_partkey AS key, 'p' || p_partkey IN (SELECT dst_key FROM bought WHERE src_key IN (SELECT key FROM gone)) AS deleted FROM part
+UNION ALL SELECT 'c' || c_custkey, c_mktsegment = 'MACHINERY' FROM customer""")
 def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat(F.lit("c"), "c_custkey").alias("path"))
+    paths = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.concat(F.lit("c"), "c_custkey").alias("path"))
     graph = _graph(spark, sf_dir).soft_delete(paths, at=F.expr("timestamp'2024-01-01'"))
-    return graph["symbol"].select("key", "deleted").unionByName(graph["file"].select("key", "deleted"))
+    both = graph["symbol"].select("key", "deleted").unionByName(graph["file"].select("key", "deleted"))
+    return both.select("key", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
 @query("""WITH each AS (SELECT 'p' || l_partkey AS key, l_returnflag = 'R' AS deleted, o_orderdate, o_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -145,10 +148,10 @@ def commit_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PURGE = f"""WITH {_BOUGHT},
-projects AS (SELECT 'n' || n_nationkey AS key FROM nation WHERE n_nationkey < 15),
-has_file AS (SELECT 'n' || c_nationkey AS src_key, 'c' || c_custkey AS dst_key FROM customer WHERE c_nationkey < 15 AND 'n' || c_nationkey IN (SELECT key FROM projects)),
+projects AS (SELECT 'n' || n_nationkey AS key FROM nation WHERE n_regionkey > 0),
+has_file AS (SELECT 'n' || c_nationkey AS src_key, 'c' || c_custkey AS dst_key FROM customer WHERE c_acctbal >= 0 AND 'n' || c_nationkey IN (SELECT key FROM projects)),
 owners AS (SELECT DISTINCT h.src_key AS project, b.dst_key AS symbol FROM has_file h JOIN bought b ON b.src_key = h.dst_key),
-part_of AS (SELECT 'o' || o_orderkey AS commit, 'n' || c_nationkey AS project FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 15),
+part_of AS (SELECT 'o' || o_orderkey AS commit, 'n' || c_nationkey AS project FROM orders JOIN customer ON o_custkey = c_custkey WHERE 'n' || c_nationkey IN (SELECT key FROM projects)),
 gone_commits AS (SELECT 'o' || o_orderkey AS commit FROM orders WHERE 'o' || o_orderkey IN (SELECT commit FROM part_of WHERE project = 'n3') OR 'o' || o_orderkey NOT IN (SELECT commit FROM part_of)),
 left_commits AS (SELECT o_orderpriority AS author, 'o' || o_orderkey AS commit FROM orders WHERE 'o' || o_orderkey NOT IN (SELECT commit FROM gone_commits))
 SELECT 'symbol' AS label, count(*) AS purged FROM part WHERE 'p' || p_partkey IN (SELECT symbol FROM owners WHERE project = 'n3') OR 'p' || p_partkey NOT IN (SELECT symbol FROM owners)
@@ -191,12 +194,12 @@ def dependency_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert_urls(urls)["has_url"]
 
 
-@query("""WITH usings AS (SELECT 'f' || c_custkey AS file, 'm' || c_nationkey AS project, 'N' || (c_custkey % 9) AS name, c_custkey % 50 = 0 AS is_global FROM customer),
+@query("""WITH usings AS (SELECT 'f' || c_custkey AS file, 'm' || c_nationkey AS project, 'N' || (c_custkey % 9) AS name, c_acctbal > 9900 AS is_global FROM customer),
 every AS (SELECT file, name FROM usings UNION SELECT u.file, g.name FROM usings u JOIN usings g ON g.project = u.project AND g.is_global AND g.file <> u.file)
 SELECT DISTINCT file AS from_key, 'repo:' || name AS to_key, 'DEPENDS_ON' AS rel_type FROM every WHERE name NOT IN ('N1', 'N4')""")
 def external_usings(spark: SparkSession, sf_dir: str) -> DataFrame:
     usings = table(spark, sf_dir, "customer").select(
-        F.lit("repo").alias("repo_key"), F.concat(F.lit("m"), "c_nationkey").alias("project"), F.concat(F.lit("f"), "c_custkey").alias("file_key"), F.concat(F.lit("N"), F.col("c_custkey") % 9).alias("name"), (F.col("c_custkey") % 50 == 0).alias("is_global")
+        F.lit("repo").alias("repo_key"), F.concat(F.lit("m"), "c_nationkey").alias("project"), F.concat(F.lit("f"), "c_custkey").alias("file_key"), F.concat(F.lit("N"), F.col("c_custkey") % 9).alias("name"), (F.col("c_acctbal") > 9900).alias("is_global")
     )
     return analyzer.external_usings(usings, spark.createDataFrame([("N1",), ("N4",)], "name string"))
 

@@ -66,16 +66,15 @@ def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("hash", "date", "message", F.size("changed_files").cast("bigint").alias("files"), gone.alias("gone"), first.alias("first_path"))
 
 
-@query("""SELECT event_id, event_type || '/' || user_id AS path, CASE WHEN event_id % 4 = 0 THEN 'deleted' ELSE 'modified' END AS state FROM events WHERE event_id % 4 = 0
-UNION ALL SELECT event_id, event_type || '/' || user_id, 'modified' FROM events WHERE event_id % 4 <> 0 AND event_type || '/' || user_id IN (SELECT event_type || '/' || user_id FROM events WHERE event_id % 4 = 1)""")
+@query("""SELECT event_id, 'u/' || user_id AS path, 'deleted' AS state FROM events WHERE event_type = 'error'
+UNION ALL SELECT event_id, 'u/' || user_id, 'modified' FROM events WHERE event_type <> 'error' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')""")
 def diff_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleted paths of a diff, and the files that its modified paths select."""
+    """Errors delete a path, purchases modify one; what else has a modified path is selected by it."""
     from ..sources.files import changed_only
 
-    path = F.concat_ws("/", "event_type", "user_id")
-    events = table(spark, sf_dir, "events").select("event_id", path.alias("relative_path"))
-    status = F.when(F.col("event_id") % 4 == 0, "D").when(F.col("event_id") % 4 == 1, "M")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.lit("u/"), "user_id").alias("relative_path"))
+    status = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "purchase", "M")
     found = history.diff(events.withColumn("line", F.concat(status, F.lit("\t"), "relative_path")).where("line is not null"))
-    deleted = events.where("event_id % 4 = 0").select("event_id", F.col("relative_path").alias("path"), F.lit("deleted").alias("state"))
-    kept = changed_only(events.where("event_id % 4 <> 0"), found.where("not is_deleted").select("path"))
+    deleted = events.where("event_type = 'error'").select("event_id", F.col("relative_path").alias("path"), F.lit("deleted").alias("state"))
+    kept = changed_only(events.where("event_type <> 'error'"), found.where("not is_deleted").select("path"))
     return deleted.unionByName(kept.select("event_id", F.col("relative_path").alias("path"), F.lit("modified").alias("state")))
