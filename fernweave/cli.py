@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from .functions.accessibility import LEVELS
 from .operators.store import GraphStore
 from .plans import index
-from .sources import files, history
+from .sources import files, git, history
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +23,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--history-log", help="text of the bulk log")
     p.add_argument("--commit-log", help="text of the commit log")
     p.add_argument("--diff", help="text of the name-status diff: incremental run")
+    p.add_argument("--diff-base", help="reference or range: incremental run, with diff and commits from git")
+    p.add_argument("--batch-size", type=int, help="most rows of a written file")
+    p.add_argument("--log-level", choices=["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "OFF"], type=str.upper)
+    p.add_argument("--debug", action="store_true", help="as --log-level DEBUG")
+    p.add_argument("--verbose", action="store_true", help="as --log-level INFO")
+    p.add_argument("--quiet", action="store_true", help="as --log-level ERROR, without totals")
     p.add_argument("--facts", help="folder of analyzer JSON")
     p.add_argument("--skip-dependencies", action="store_true")
     p.add_argument("--purge-data", action="store_true")
@@ -41,6 +47,10 @@ def checked(argv: list[str] | None = None) -> argparse.Namespace:
         p.error("--purge-data takes no --min-accessibility")
     if not (args.supported_files or args.info) and not args.store:
         p.error("--store is required")
+    if sum([bool(args.log_level), args.debug, args.verbose, args.quiet]) > 1:
+        p.error("--log-level, --debug, --verbose and --quiet exclude each other")
+    if args.diff and args.diff_base:
+        p.error("--diff and --diff-base exclude each other")
     return args
 
 
@@ -61,6 +71,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if int(spark.version.split(".")[0]) < 4:
         sys.exit("Spark 4 or later is needed")
+    spark.sparkContext.setLogLevel(args.log_level or ("DEBUG" if args.debug else "INFO" if args.verbose else "ERROR" if args.quiet else "WARN"))
+    if args.batch_size:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", args.batch_size)
     source = files.resolve_input(args.input)
     key = None if args.no_key else key_of(source)
     store, extensions = GraphStore(spark, args.store), tuple(args.include.split(","))
@@ -73,13 +86,28 @@ def main(argv: list[str] | None = None) -> int:
 
     from .sources.analyzer import read_analysis
 
-    read = lambda path: history.read_log(spark, path) if path else None
-    inputs = index.Inputs(history=read(args.history_log), commits=read(args.commit_log), diff=read(args.diff), facts=read_analysis(spark, args.facts) if args.facts else None)
     root = source if Path(source).is_dir() else str(Path(source).parent)
-    graph = index.index(spark, root, store, key, inputs, extensions, args.min_accessibility)
-    index.totals(graph).show(50, truncate=False)
+    graph = index.index(spark, root, store, key, inputs_of(spark, root, args, read_analysis), extensions, args.min_accessibility)
+    if not args.quiet:
+        index.totals(graph).show(50, truncate=False)
     return 0
 
 
+def inputs_of(spark: SparkSession, root: str, args: argparse.Namespace, read_analysis) -> index.Inputs:
+    """Logs and diff as given; what is not given comes from git, where the tree is in a repository."""
+    read = lambda path: history.read_log(spark, path) if path else None
+    log, commits, diff = read(args.history_log), read(args.commit_log), read(args.diff)
+    if args.diff_base:
+        diff = git.changed_files(spark, root, args.diff_base)
+        commits = git.commit_log(spark, root, args.diff_base) if commits is None else commits
+    if log is None:
+        try:
+            git.repository_root(root)
+            log = git.bulk_log(spark, root)
+        except (RuntimeError, OSError):
+            log = None
+    return index.Inputs(history=log, commits=commits, diff=diff, facts=read_analysis(spark, args.facts) if args.facts else None)
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -307,7 +307,11 @@ def distinct_dependencies(dependencies: DataFrame) -> DataFrame:
 
 
 class GraphStore:
-    """A Graph in a folder of Parquet tables: a commit writes a new generation beside the old and moves a pointer."""
+    """A Graph in a folder of Parquet tables.
+
+    A commit writes a new generation beside the old ones and last its mark, so a reader sees
+    all of it or nothing, and a commit that fails leaves the generation before in force.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -317,37 +321,32 @@ class GraphStore:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _generation(self) -> str | None:
-        files, path = self._hadoop("CURRENT")
-        if not files.exists(path):
-            return None
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0]
+    def _generations(self) -> tuple[list[str], str | None]:
+        """(all generations, the latest that has its mark)."""
+        files, top = self._hadoop("")
+        found = sorted(n for s in files.listStatus(top) if (n := s.getPath().getName()).startswith("g-")) if files.exists(top) else []
+        whole = (n for n in reversed(found) if files.exists(self._hadoop(f"{n}/COMMITTED")[1]))
+        return found, next(whole, None)
 
     def load(self) -> Graph:
-        generation = self._generation()
+        _, generation = self._generations()
         if generation is None:
             return Graph(self.spark)
         shapes = {k: v[1] for k, v in schemas.NODES.items()} | {k: v[2] for k, v in schemas.EDGES.items()}
         return Graph(self.spark, {name: self.spark.read.schema(shape).parquet(f"{self.folder}/{generation}/{name}") for name, shape in shapes.items()})
 
     def commit(self, graph: Graph) -> Graph:
-        """Writes every table, then the pointer; older generations but the last are removed."""
-        before, generation = self._generation(), f"g-{uuid.uuid4().hex}"
+        """Writes every table, then the mark; generations but this and the one before are removed."""
+        known, before = self._generations()
+        number = int(known[-1].split("-")[1]) + 1 if known else 1
+        generation = f"g-{number:010d}-{uuid.uuid4().hex}"
         for name in [*schemas.NODES, *schemas.EDGES]:
             graph[name].write.parquet(f"{self.folder}/{generation}/{name}")
-        files, fresh = self._hadoop(f"POINTER-{generation}")
-        stream = files.create(fresh, True)
-        stream.write(bytearray(generation.encode()))
-        stream.close()
-        _, pointer = self._hadoop("CURRENT")
-        files.delete(pointer, False)
-        if not files.rename(fresh, pointer):
-            raise OSError(f"cannot move the pointer of {self.folder}")
-        _, top = self._hadoop("")
-        for status in files.listStatus(top):
-            name = status.getPath().getName()
-            if name.startswith("g-") and name not in (generation, before):
-                files.delete(status.getPath(), True)
+        files, mark = self._hadoop(f"{generation}/COMMITTED")
+        files.create(mark, False).close()
+        for name in known:
+            if name != before:
+                files.delete(self._hadoop(name)[1], True)
         return self.load()
 
 

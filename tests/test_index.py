@@ -8,6 +8,7 @@ import pytest
 from fernweave import cli
 from fernweave.operators.store import GraphStore
 from fernweave.plans import index
+from fernweave.sources import git
 from fernweave.streaming import flush
 
 
@@ -72,11 +73,52 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert cli.main(["--input", str(tree), "--store", store, "--min-accessibility", "Public"]) == 0
     assert cli.key_of(str(tree)) == "tree"
     assert cli.main(["--input", str(tree), "--store", store, "--purge-data", "--yes"]) == 0
-    for bad in (["--purge-data", "--min-accessibility", "Public", "--store", store], []):
+    for bad in (["--purge-data", "--min-accessibility", "Public", "--store", store], [], ["--store", store, "--debug", "--quiet"], ["--store", store, "--diff", "d", "--diff-base", "b"]):
         with pytest.raises(SystemExit):
             cli.checked(bad)
 
 
+def test_git_feeds_full_and_incremental_runs(spark, tree, tmp_path):
+    def run(*arguments):
+        subprocess.run(["git", "-c", "user.name=Ann", "-c", "user.email=a@x", *arguments], cwd=tree, check=True, capture_output=True)
+
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "first")
+    run("tag", "v1")
+    store = str(tmp_path / "store")
+    assert cli.main(["--input", str(tree), "--store", store, "--min-accessibility", "Public", "--quiet"]) == 0
+    graph = GraphStore(spark, store).load()
+    row = graph["file"].where("key = 'web/a.css'").first()
+    assert len(row.commits) == 1 and list(row.tags) == ["v1"] and names(graph, "author", "name") == ["Ann <a@x>"]
+
+    write(tree, {"web/a.css": "p {\n}", "web/é.css": "i {\n}"})
+    (tree / "web/b.html").unlink()
+    run("add", "-A")
+    run("commit", "-qm", "second | with bar")
+    assert git.commit_count(str(tree), "v1") == 1 and git.commit_count(str(tree), "nothing") == 0
+    assert cli.main(["--input", str(tree), "--store", store, "--min-accessibility", "Public", "--diff-base", "v1", "--batch-size", "3"]) == 0
+    graph = GraphStore(spark, store).load()
+    assert {"web/a.css:CssSelector:p:1", "web/é.css:CssSelector:i:1"} <= set(names(graph, "symbol")) and [r.message for r in graph["commit"].collect()] == ["second | with bar"]
+    assert names(GraphStore(spark, store).load().put(file=graph["file"].where("deleted")), "file") == ["web/b.html"]
+    assert git.file_log(spark, str(tree), "web/a.css").where("line <> ''").count() == 2
+    assert git.commit_log(spark, str(tree), "nothing").count() == 0 and git.commit_range("a..b") == "a..b"
+    with pytest.raises(RuntimeError):
+        git.changed_files(spark, str(tree), "nothing")
+    with pytest.raises(RuntimeError):
+        git.repository_root(str(tmp_path))
+
+
+def test_a_commit_that_fails_changes_nothing(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "store"))
+    store.commit(store.load().upsert_project("a", "a"))
+    with pytest.raises(Exception):
+        store.commit(store.load().put(project=spark.range(1).selectExpr("raise_error('x') as key", "'x' as name")))
+    assert names(store.load(), "project") == ["a"]
+    store.commit(store.load().upsert_project("b", "b"))
+    assert names(store.load(), "project") == ["a", "b"]
+
+
 def test_rest_works_without_the_corpus_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "fernweave", tmp_path / "fernweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
