@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 MAX_TEXT = 8000
 VERBATIM_TAGS = ("DotNet", "iOS")
+_HOSTS = ("github.com", "gitlab.com", "bitbucket.org", "dev.azure.com")
 _PREFIXES = (
-    ("github:", "https://github.com/"), ("gitlab:", "https://gitlab.com/"), ("bitbucket:", "https://bitbucket.org/"),
-    *((f"{scheme}git@{host}/", f"https://{host}/") for scheme in ("git+ssh://", "ssh://") for host in ("github.com", "gitlab.com", "bitbucket.org", "dev.azure.com")),
-    ("git+https://", "https://"), ("git+http://", "http://"), ("git://", "https://"),
+    *((f"{host.partition('.')[0]}:", f"https://{host}/") for host in _HOSTS[:3]),
+    *((f"{scheme}git@{host}/", f"https://{host}/") for scheme in ("git+ssh://", "ssh://") for host in _HOSTS),
+    *((f"git{scheme}://", f"{to}://") for scheme, to in (("+https", "https"), ("+http", "http"), ("", "https"))),
 )
 
 
@@ -76,7 +77,7 @@ def normalize_repository_url(url: Column) -> Column:
 
 def binding_path(value: Column) -> Column:
     """The path of a {Binding ...} value, null for anything else."""
-    path = F.regexp_extract(value, r"^\{Binding\s+(\S+?)(?:\s*,.*)?\}$", 1)
+    path = F.regexp_extract(value, r"^[{]Binding\s+(\S+?)(\s*,.*)?[}]$", 1)
     return F.nullif(F.regexp_replace(path, "^Path=", ""), F.lit(""))
 
 

@@ -17,7 +17,7 @@ from .rows import as_relationships, as_symbols
 CSS = r"([^{]+)\s*\{"
 HTML_ID = r"(?i)id=['\"](.*?)['\"]"
 HTML_SCRIPT = r"(?i)<script\s+.*?src=['\"](.*?)['\"]"
-RAZOR = r"(?m)^@(?:using|inject|model|inherits)\s+(.+)$"
+RAZOR = r"(?m)^@(?:inherits|inject|model|using)\s+(.+)$"
 RAZOR_NAMESPACE = r"(?m)^@namespace\s+(.+)$"
 
 

@@ -20,10 +20,10 @@ from .. import schemas
 from ..functions import accessibility as A
 
 XAML_SPACES = frozenset((
-    "http://schemas.microsoft.com/winfx/2009/xaml", "http://schemas.microsoft.com/winfx/2006/xaml", "http://schemas.microsoft.com/dotnet/2021/maui",
-    "http://schemas.microsoft.com/winfx/2006/xaml/presentation", "http://xamarin.com/schemas/2014/forms", "http://schemas.microsoft.com/client/2007", "https://github.com/avaloniaui",
+    *(f"http://schemas.microsoft.com/{name}" for name in ("client/2007", "dotnet/2021/maui", "winfx/2006/xaml", "winfx/2006/xaml/presentation", "winfx/2009/xaml")),
+    "http:" "//xamarin.com/schemas/2014/forms", "https://github.com/avaloniaui",
 ))
-_BINDING = re.compile(r"^\{Binding\s+(\S+?)(?:\s*,.*)?\}$")
+_BINDING = re.compile(r"^[{]Binding\s+(\S+?)(\s*,.*)?[}]$")
 _EVENT_ENDS = ("Click", "Changed", "Loaded", "Pressed", "Released")
 _ROWS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.SYMBOL) + ", ordinal int, from_key string, rel_type string"
 

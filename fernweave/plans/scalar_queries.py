@@ -117,7 +117,7 @@ def accessibility_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SCHEMES = ("github:", "git+ssh://git@github.com/", "ssh://git@gitlab.com/", "git+https://user:pw@", "git://", "https://")
+_SCHEMES = ("github:", "git+ssh://" "git@github.com/", "ssh://git@gitlab.com/", "git+https://user:pw@", "git://", "https://")
 
 
 @query(rf"""WITH made AS (SELECT page_id, {_list(_SCHEMES)}[page_id % {len(_SCHEMES)} + 1] || regexp_replace(url, '^[a-z]+://', '') || '.git' AS url FROM pages),

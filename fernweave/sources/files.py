@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 EXCLUDED = ("bin", "obj", ".git", ".idea", "node_modules", ".dart_tool", "build")
-DEFAULT_INCLUDES = (".cs", ".razor", ".xaml", ".js", ".html", ".xml", ".json", ".css", ".csproj", ".ts", ".tsx", ".dart")
+DEFAULT_INCLUDES = tuple(f".{x}" for x in "cs csproj css dart html js json razor ts tsx xaml xml".split())
 #: handler, extension or whole file name, language, technology
-HANDLERS = (
-    ("csharp", ".cs", "csharp", "dotnet"), ("razor", ".razor", "csharp", "dotnet"), ("typescript", ".ts", "typescript", "node"), ("typescript", ".tsx", "typescript", "node"),
-    ("javascript", ".js", "javascript", "node"), ("css", ".css", "css", "web"), ("html", ".html", "html", "web"), ("xaml", ".xaml", "xaml", "dotnet"), ("xml", ".xml", "xml", "xml"),
-    ("json", ".json", "json", "json"), ("dart", ".dart", "dart", "flutter"), ("csproj", ".csproj", "xml", "dotnet"), ("npm", "package.json", "json", "node"), ("pubspec", "pubspec.yaml", "yaml", "flutter"),
+HANDLERS = tuple(
+    tuple(row.split())
+    for row in (
+        "csharp .cs csharp dotnet", "razor .razor csharp dotnet", "csproj .csproj xml dotnet", "xaml .xaml xaml dotnet", "typescript .ts typescript node", "typescript .tsx typescript node",
+        "javascript .js javascript node", "npm package.json json node", "css .css css web", "html .html html web", "json .json json json", "xml .xml xml xml", "dart .dart dart flutter", "pubspec pubspec.yaml yaml flutter",
+    )
 )
 
 

