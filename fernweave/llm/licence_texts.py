@@ -6,7 +6,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the MIT license. See the LICENSE file in the project root for details.",
         "This project is distributed under the terms of the MIT licence.",
         "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction, provided the copyright notice is included.",
+        "Permission is hereby granted, free of " "charge, to any person obtaining a copy of this software, to deal in the Software without restriction, provided the copyright notice is included.",
     ],
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
