@@ -4,7 +4,9 @@ One Aho-Corasick automaton of keywords passes over each text in C.  Only where a
 ends is the regular expression of its rule tried, anchored at the keyword's start.  A
 match whose format embeds a checksum counts only if the checksum holds: the base-62 CRC-32
 at the end of ghp_ and npm_ tokens, the account number inside AKIA key ids, the header of
-a JWT.  Rules without one ask for a minimal entropy.
+a JWT.  Rules without one ask for a minimal entropy.  What is assigned to a name with a
+keyword in it is a secret from 16 characters on; neither it, the name nor the blanks
+between them have a greatest length, and a text takes linear time all the same.
 
 Defined cases: a null or empty text has no findings.  Findings carry the doc_id as it is,
 null included, and a repeated row repeats them.  Offsets count characters of the original
@@ -64,12 +66,24 @@ def _header_holds(secret: str) -> bool:
 
 def entropy(secret: str) -> float:
     """Bits per character."""
-    return -sum(n / len(secret) * math.log2(n / len(secret)) for n in Counter(secret).values()) if secret else 0.0
+    return _bits(Counter(secret)) if secret else 0.0
+
+
+def _bits(counts: Counter) -> float:
+    size = counts.total()
+    return -math.fsum(n / size * math.log2(n / size) for n in counts.values())  # whatever the order of the counts
 
 
 def _varied(secret: str) -> bool:
-    return entropy(secret) >= 3.0 and any(c.isdigit() for c in secret)
+    return bool(secret) and _varied_counts(Counter(secret))
+
+
+def _varied_counts(counts: Counter) -> bool:
+    return _bits(counts) >= 3.0 and any(c.isdigit() for c in counts)
+
 
+#: An assignment: the rest of the name from the keyword on, what is between name and value, a character of the value.  No length is bounded.
+_NAME, _GIVEN, _VALUE = r"[\w-]*+", r"""["']?\s*+(?::=|=>|=|:)\s*+["']?""", "[A-Za-z0-9+/_=-]"
 
 #: (rule, keywords in lower case, expression anchored at the keyword, group of the secret, what must hold, whether that is a checksum)
 _RULES: list[tuple[str, tuple[str, ...], str, int, Callable[[str], bool], bool]] = [
@@ -82,10 +96,14 @@ _RULES: list[tuple[str, tuple[str, ...], str, int, Callable[[str], bool], bool]]
     ("search_key", ("aiza",), r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", 0, _varied, False),
     ("payment_key", ("sk_live_", "rk_live_"), r"[sr]k_live_[A-Za-z0-9]{20,}", 0, _varied, False),
     ("private_key", ("-----begin ",), r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----[A-Za-z0-9+/=\s:,.()-]*?-----END \1-----", 0, lambda s: True, False),
-    ("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "auth_key"), r"""(?i)[a-z_-]{3,20}["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["']?([A-Za-z0-9+/_=-]{16,512})(?![A-Za-z0-9+/_=-])""", 1, _varied, False),
+    ("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "auth_key"), _NAME + _GIVEN + rf"({_VALUE}{{16,}}+)", 1, _varied, False),
 ]
 
 
+_ASSIGNED = len(_RULES) - 1
+_NAME_AT, _GIVEN_AT, _VALUE_AT = re.compile(_NAME), re.compile(rf"{_GIVEN}(?={_VALUE}{{16}})"), re.compile(f"{_VALUE}++")
+
+
 def _automaton() -> tuple[ahocorasick.Automaton, list[re.Pattern]]:
     words = ahocorasick.Automaton()
     for rule, (_, keywords, *_rest) in enumerate(_RULES):
@@ -103,6 +121,31 @@ def _candidate(text: str, rule: int, pattern: re.Pattern, at: int) -> tuple[int,
     return (hit.start(group), hit.end(group), rule) if hit and holds(hit.group(group)) else None
 
 
+def _assigned(text: str, places: list[int], rule: int) -> set[tuple[int, int, int]]:
+    """_candidate() of assigned_secret at all these places, in ascending order, in linear time.
+
+    Keywords in one name share its value, and values that end together share the counts of their common end.
+    """
+    name_end, value_end, values = -1, -1, []
+    for at in places:
+        if at < name_end:
+            continue
+        name_end = _NAME_AT.match(text, at).end()
+        if hit := _GIVEN_AT.match(text, name_end):
+            if hit.end() >= value_end:
+                value_end = _VALUE_AT.match(text, hit.end()).end()
+            values.append((hit.end(), value_end))
+    found, counts, known, last = set(), Counter(), -1, -1
+    for start, end in reversed(values):
+        if end != last:
+            counts, known, last = Counter(), end, end
+        counts.update(text[start:known])
+        known = start
+        if _varied_counts(counts):
+            found.add((start, end, rule))
+    return found
+
+
 def _settle(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     for start, end, rule in sorted(found, key=lambda x: (x[0], x[2], -x[1])):
@@ -117,7 +160,9 @@ def find_secrets(text: str | None) -> list[tuple[int, int, int]]:
         return []
     words, patterns = kept("secrets", _automaton)
     low = lower_in_place(text)
-    found = {_candidate(text, rule, patterns[rule], end + 1 - size) for end, (rule, size) in words.iter(low)}
+    places = [(end + 1 - size, rule) for end, (rule, size) in words.iter(low)]
+    found = {_candidate(text, rule, patterns[rule], at) for at, rule in places if rule != _ASSIGNED}
+    found |= _assigned(text, sorted(at for at, rule in places if rule == _ASSIGNED), _ASSIGNED)
     return _settle(found - {None})
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -66,6 +67,38 @@ def test_findings_and_redaction(spark):
     assert S.secret_findings(table(spark, [])).count() == 0 and S.redact_secrets(table(spark, [])).count() == 0
 
 
+def value(n, seed=3):
+    return "".join(random.Random(seed).choices(S._BASE62 + "+/_=-", k=n - 1)) + "7"
+
+
+@pytest.mark.parametrize("n", [16, 512, 513, 800, 5_000, 300_000])
+def test_assigned_values_of_any_length(n):
+    text = f'AWS_SESSION_TOKEN="{value(n)}" end'
+    assert S.find_secrets(text) == [(19, 19 + n, S._ASSIGNED)] and S.redacted(text) == 'AWS_SESSION_TOKEN="[REDACTED:assigned_secret]" end'
+
+
+@pytest.mark.parametrize("start", [
+    'password_for_production_database = "', 'api_key_v2 = "', 'password        = "', "secret" + "_x" * 5_000 + "=", "token\t\t\t\t\t:\n\n\t  '", '"access_key_2" : "', "passwd :=     ", "tokenschlüssel=",
+])
+def test_assigned_names_and_blanks_of_any_length(start):
+    text = f"x {start}{value(40)}"
+    assert S.find_secrets(text) == [(len(text) - 40, len(text), S._ASSIGNED)] == brute(text)
+
+
+@pytest.mark.parametrize("text", [
+    "token=" * 40 + "1", "token=1" * 40, "token" * 60 + "=" + value(30), "token=aaaaaaaaaaaaaaaaaaaaaaaa" * 3 + "/secret=" + value(20), "token=glpat-abcdefghij0123456789=token=" + value(20), "token==>= " + value(20),
+])
+def test_shared_names_and_values_change_nothing(text):
+    assert S.find_secrets(text) == brute(text)
+
+
+def test_long_assignments_take_linear_time():
+    for text in ("token" * 200_000, "token=1" * 150_000, "token=" * 150_000, "token" + " " * 1_000_000):
+        began = time.process_time()
+        S.find_secrets(text)
+        assert time.process_time() - began < 20
+
+
 def words_of(text):
     return re.findall(r"\w+", lower_in_place(text))
 
