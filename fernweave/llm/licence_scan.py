@@ -3,14 +3,17 @@
 A multinomial logistic regression over sparse word 1- to 3-grams is fitted on notices of
 twelve licence families, on statements of other terms, and on paragraphs without any (a
 bounded sample of the corpus, BACKGROUND documents of least hash, some with a licence word
-put in).  A fourth of the examples is held out: a temperature is fitted on it, then the
+put in).  Paragraphs of the sample that the model takes for statements without a notice's
+words in them are put in as further examples and the model is fitted again, MINING times
+at most, as words of the notices also occur by themselves, such as the German "mit".  A fourth of the examples is held out: a temperature is fitted on it, then the
 least probability at which a family is believed, so that of the held-out examples of no
 family at most FALSE_RATE pass.  Less certain statements are of family `unknown`.  A family
 that is predicted must also be confirmed: the paragraph's n-grams are compared with the
 family's notices, and where the best overlap is under OVERLAP the family is `unknown`.
 
-Paragraphs are lines.  Only those with an anchor, found by one Aho-Corasick pass over the
-text, are classified; a paragraph without any states no licence by definition.
+Paragraphs are lines, and all of them are classified.  The n-grams of many texts at a time
+are looked up and their weights summed in numpy; paragraphs that `none` wins by MARGIN or
+more, far beyond rounding, are done with, and the rest goes through classify().
 
 Defined cases: a null or empty text gives no rows.  A null doc_id stays null, repeated rows
 repeat theirs.  Of families that tie in probability the first by name counts.  On an empty
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -31,9 +35,12 @@ from pyspark.sql import functions as F
 
 from .licence_texts import ANCHORS, OTHER, PROSE, TEMPLATES
 from .matching import kept, lower_in_place
+from .tokens import slices
 
-BACKGROUND, FALSE_RATE, OVERLAP = 200, 0.005, 0.5
+BACKGROUND, FALSE_RATE, OVERLAP, MINING, MARGIN = 200, 0.005, 0.5, 4, 0.01
 _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*")
+_TOKENS = re.compile(rf"\n|{_WORDS.pattern}")
+_NO_WORD, _LINE_END, _SLICE = -1, -2, 1_000_000
 _SEED, _STEPS, _COPIES = 20240501, 220, 24
 
 
@@ -52,7 +59,17 @@ class LicenceModel:
         self.notices = {f: [set(ngrams(t)) for t in TEMPLATES[f]] for f in self.families}
         terms = {g for texts in [*TEMPLATES.values(), OTHER] for t in texts for g in ngrams(t)}
         self.vocabulary = {g: i for i, g in enumerate(sorted(terms))}
-        examples = self._examples(background, rng)
+        self._index()
+        unstated = [p for p in background if self._overlap(p) < OVERLAP]
+        examples = self._examples(background[: 4 * BACKGROUND], rng)
+        for left in reversed(range(MINING + 1)):
+            self._learn(examples, rng)
+            wrong = [(p, "none") for p in unstated if self.classify(p) is not None] if left else []
+            if not wrong:
+                break
+            examples = examples + wrong * _COPIES
+
+    def _learn(self, examples: list[tuple[str, str]], rng: np.random.Generator) -> None:
         order = rng.permutation(len(examples))
         held = len(order) // 4
         x = np.zeros((len(examples), len(self.vocabulary)), np.float32)
@@ -62,6 +79,58 @@ class LicenceModel:
         self.weights, self.bias = self._fit(x[order[held:]], y[order[held:]])
         self._calibrate(x[order[:held]] @ self.weights + self.bias, y[order[:held]])
 
+    def _overlap(self, text: str) -> float:
+        """The best overlap of a text with any notice."""
+        grams = set(ngrams(text))
+        return max(len(grams & n) / min(len(grams), len(n)) for ns in self.notices.values() for n in ns) if grams else 0.0
+
+    def _index(self) -> None:
+        """The vocabulary by word numbers: the row of each word, and sorted codes and rows of runs of two and of three."""
+        words = sorted(g for g in self.vocabulary if " " not in g)
+        self._ids = {w: i for i, w in enumerate(words)} | {"\n": _LINE_END}
+        self._rows = np.array([self.vocabulary[w] for w in words])
+        self._codes = []
+        for n in (2, 3):
+            coded = sorted((self._code([self._ids[w] for w in g.split(" ")]), row) for g, row in self.vocabulary.items() if g.count(" ") == n - 1)
+            self._codes.append(np.array(coded, np.int64).reshape(-1, 2).T)
+
+    def _code(self, words):
+        code = 0
+        for w in words:
+            code = code * len(self._ids) + w
+        return code
+
+    def doubtful(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """(number of the text, start, end) of all paragraphs but those that `none` wins by MARGIN or more."""
+        ids = np.fromiter(map(self._ids.get, _TOKENS.findall("\n".join(texts).lower()), repeat(_NO_WORD)), np.int64)
+        paragraph = np.cumsum(ids == _LINE_END)
+        at = np.flatnonzero(ids >= 0)
+        found = [(paragraph[at], self._rows[ids[at]])]
+        for n, (codes, rows) in zip((2, 3), self._codes):
+            at = at[at + n <= len(ids)]
+            at = at[ids[at + n - 1] >= 0]
+            run = self._code([ids[at + k] for k in range(n)])
+            place = np.minimum(np.searchsorted(codes, run), len(codes) - 1)
+            known = codes[place] == run
+            found.append((paragraph[at[known]], rows[place[known]]))
+        once = np.unique(np.concatenate([p * len(self.vocabulary) + r for p, r in found]))
+        where, rows = np.divmod(once, len(self.vocabulary))
+        lines = np.array([t.count("\n") + 1 for t in texts])
+        lead = self.bias[:-1].astype(float) - self.bias[-1]
+        best = np.full(lines.sum(), lead.max())
+        if len(once):
+            first = np.flatnonzero(np.diff(where, prepend=-1))
+            ahead = self.weights[:, :-1].astype(float) - self.weights[:, -1:]
+            best[where[first]] = (np.add.reduceat(ahead[rows], first) + lead).max(axis=1)
+        out, ends = [], np.cumsum(lines)
+        for k in np.flatnonzero(best > -MARGIN):
+            i = int(np.searchsorted(ends, k, "right"))
+            if not out or out[-1][0] != i:
+                starts = [0, *(m.end() for m in re.finditer("\n", texts[i])), len(texts[i]) + 1]
+            line = int(k - (ends[i] - lines[i]))
+            out.append((i, starts[line], starts[line + 1] - 1))
+        return out
+
     def _examples(self, background: list[str], rng: np.random.Generator) -> list[tuple[str, str]]:
         out = []
         plain = [p for p in background if p.strip()] or PROSE
@@ -149,7 +218,7 @@ def train(docs: DataFrame, background: int = BACKGROUND) -> LicenceModel:
     last = hashed.select("h").distinct().orderBy("h").limit(background).agg(F.max("h")).first()[0]  # only hashes travel
     sample = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h")
     lines = [line for row in sample.collect() for line in row["text"].split("\n")]
-    return LicenceModel([x[:2000] for x in lines if not any(a in x.lower() for a in ANCHORS)][: 4 * background])
+    return LicenceModel([x[:2000] for x in lines if not licence_lines(x)][: 40 * background])
 
 
 def _anchors() -> ahocorasick.Automaton:
@@ -180,9 +249,10 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
-            for i, value in enumerate(batch.column(1)):
-                text = value.as_py()
-                for start, end in licence_lines(text):
+            for low, high in slices(batch.column(1), _SLICE):
+                some = [(i, t) for i, t in enumerate(batch.column(1).slice(low, high - low).to_pylist(), low) if t]
+                for k, start, end in shared.value.doubtful([t for _, t in some]) if some else []:
+                    i, text = some[k]
                     if (said := shared.value.classify(text[start:end])) is not None:
                         at.append(i)
                         rows.append((start, end, said[0], round(said[1], 4), round(said[2], 4)))

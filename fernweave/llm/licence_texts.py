@@ -102,7 +102,7 @@ PROSE = [
     "Redistribution of income was the topic of the debate.",
 ]
 
-#: Only a paragraph with one of these, in lower case, is classified; any other states no licence.
+#: A paragraph of the corpus with one of these, in lower case, is no example of text without a licence.
 ANCHORS = (
     "licen", "lizenz", "copyright", "gpl", "apache", "bsd", "mozilla", "mpl-", "mpl ", "creative commons", "cc by", "cc-by", "cc0", "public domain", "rights reserved",
     "warrant", "redistribut", "hereby granted", "gnu ",

@@ -61,6 +61,38 @@ def test_scan(spark, model):
     assert L.scan_licences(table(spark, [])).count() == 0
 
 
+def lines_of(text):
+    at = 0
+    for line in text.split("\n"):
+        yield at, at + len(line)
+        at += len(line) + 1
+
+
+def test_every_paragraph_is_classified(spark, model):
+    rng = random.Random(4)
+    known = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.split()}) + ["filler", "ΑΣ", "İx", "\n", "\n", "\n\n"]
+    pieces = [*known, *("\n" + t for ts in TEMPLATES.values() for t in ts), "Released under MIT.\n", "Distributed under the Boost terms\n", "Creative-Commons Attribution 4.0\n"]
+    texts = [" ".join(rng.choices(pieces if n % 2 else known, k=rng.randint(1, 80))) for n in range(300)]
+    want = {(i, a, b) for i, t in enumerate(texts) for a, b in lines_of(t) if model.classify(t[a:b]) is not None}
+    found = model.doubtful(texts)
+    assert len(found) == len(set(found)) and {(i, a, b) for i, a, b in found if model.classify(texts[i][a:b]) is not None} == want
+    rows = {(r.doc_id, r.start, r.end) for r in L.scan_licences(table(spark, [*enumerate(texts), (900, None), (901, "")]), model).collect()}
+    assert rows == want and any(not any(x in texts[i][a:b].lower() for x in L.ANCHORS) for i, a, b in want)
+
+
+@pytest.mark.parametrize("text, family", [("x\nReleased under MIT.\ny", "MIT"), ("x\nDistributed under the Boost terms", "unknown"), ("Creative-Commons Attribution 4.0\n", "CC-BY")])
+def test_statements_without_an_anchor(model, text, family):
+    assert [model.classify(text[a:b])[0] for i, a, b in model.doubtful([text]) if model.classify(text[a:b])] == [family]
+
+
+def test_words_of_notices_in_other_texts_state_no_licence():
+    rng = random.Random(5)
+    german = [" ".join(rng.choices(["Haus", "Baum", "die", "Stadt", "der", "geht", "kleine", "Dorf"], k=12) + ["mit"] + rng.choices(["Hund", "Katze", "ihm"], k=2)) + "." for _ in range(300)]
+    plain = [" ".join(rng.choices(["Haus", "Baum", "die", "Stadt", "der"], k=12)) for _ in range(900)]
+    model = L.LicenceModel(plain + german[:30])
+    assert all(model.classify(t) is None for t in german) and model.classify("Released under the MIT License.")[0] == "MIT"
+
+
 def test_training_is_bounded_and_repeatable(spark):
     docs = table(spark, [(i, f"text number {i} of a story\nanother line") for i in range(300)])
     a, b = L.train(docs, 20), L.train(docs.repartition(5), 20)
