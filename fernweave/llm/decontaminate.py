@@ -35,14 +35,14 @@ AUTOMATON_CHARS = 32_000_000
 _WORDS = re.compile(r"\w+")
 
 
-def _blocks(words: list[str]) -> dict[str, int]:
-    """Each block of an item, between blanks, with the place of its first word."""
+def _blocks(words: list[str]) -> list[tuple[str, int]]:
+    """The blocks of an item, between blanks, each with the place of its first word; a repeated block with each of its places."""
     if len(words) <= SEED:
-        return {f" {' '.join(words)} ": 0}
+        return [(f" {' '.join(words)} ", 0)]
     starts = [*range(0, len(words) - SEED + 1, SEED)]
     if starts[-1] + SEED < len(words):
         starts.append(len(words) - SEED)
-    return {f" {' '.join(words[s : s + SEED])} ": s for s in reversed(starts)}
+    return [(f" {' '.join(words[s : s + SEED])} ", s) for s in starts]
 
 
 class Leaks:
@@ -52,7 +52,7 @@ class Leaks:
         self.items = [(i, w) for i, t in items if t and len(w := _WORDS.findall(lower_in_place(t))) >= LEAST]
         blocks: dict[str, list[tuple[int, int]]] = {}
         for n, (_, words) in enumerate(self.items):
-            for block, start in _blocks(words).items():
+            for block, start in _blocks(words):
                 blocks.setdefault(block, []).append((n, start))
         self.automaton = ahocorasick.Automaton()
         for block, where in blocks.items():
@@ -73,10 +73,12 @@ class Leaks:
         for k, word in enumerate(words):
             place[at] = k  # the blank before each word
             at += len(word) + 1
-        runs = set()
+        runs, reached = set(), {}
         for end, size, where in seeds:
             here = place[end + 1 - size]
             for n, start in where:
+                if here < reached.get((n, here - start), 0):
+                    continue  # inside a run that an earlier seed has given
                 item = self.items[n][1]
                 low_d, low_i = here, start
                 while low_d and low_i and words[low_d - 1] == item[low_i - 1]:
@@ -84,6 +86,7 @@ class Leaks:
                 high_d, high_i = here, start
                 while high_d < len(words) and high_i < len(item) and words[high_d] == item[high_i]:
                     high_d, high_i = high_d + 1, high_i + 1
+                reached[n, here - start] = high_d
                 if high_d - low_d >= min(MIN_WORDS, len(item)):
                     runs.add((n, low_d, high_d))
         spans = [m.span() for m in _WORDS.finditer(low)] if runs else []

@@ -138,6 +138,19 @@ def test_leaks_match_brute_force():
         assert set(finder.find(text)) == want
 
 
+def test_a_repeated_block_is_aligned_with_each_of_its_places():
+    a, x, y = (" ".join(f"{c}{i}" for i in range(6)) for c in "axy")
+    run = " ".join([*x.split()[1:], a, *y.split()[:5]])
+    assert [hit[0::3] for hit in D.Leaks([(7, f"{a} {x} {a} {y}")]).find(f"so {run} on")] == [(7, 16)]
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choices([a, x, y, "z"], k=rng.randint(2, 8)))) for i in range(20)]
+    finder = D.Leaks(items)
+    for _ in range(60):
+        text = " ".join(" ".join(rng.choices([a, x, y, "z", "a1 a2"], k=8)).split()[rng.randint(0, 5) :])
+        spans = [m.span() for m in re.finditer(r"\w+", text)]
+        assert set(finder.find(text)) == {(item, spans[i][0], spans[i + k - 1][1], k) for item, i, k in brute_leaks(text, items)}
+
+
 def test_offsets_are_those_of_the_original():
     q = "Wie heißt die Straße mit dem großen roten Haus am See"
     (hit,) = D.Leaks([(7, q)]).find("İİ --- " + q.replace(" ", " -- ") + "; Ende")
