@@ -13,7 +13,8 @@
 
 Defined cases: a null doc_id takes no part.  A text that is null, empty or without words
 has no shingles and is never grouped.  A text of fewer than three words is one shingle.
-Rows that share a doc_id are one document, with the union of their matches.  Ties are
+Rows that share a doc_id are one document, with the union of their matches: texts are
+compared row by row, as (doc_id, part) with a part for each of its unlike texts.  Ties are
 settled by the least doc_id, which is the one kept.  An empty table gives no rows.  Other
 columns of the input are ignored, whatever their names.
 """
@@ -75,7 +76,9 @@ def _shingle_sets(width: int):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for low, high in slices(texts, _SLICE):
-                elements, at = shingles(*words(texts.slice(low, high - low)), width)
+                hashes, starts = words(texts.slice(low, high - low))
+                sums = [pa.array(w) for w in _word_sums(hashes, starts)]
+                elements, at = shingles(hashes, starts, width)
                 small = (elements >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort([small, np.repeat(np.arange(high - low), np.diff(at))])
                 small, doc = small[order], np.repeat(np.arange(high - low), np.diff(at))
@@ -83,7 +86,7 @@ def _shingle_sets(width: int):
                 first[1:] = (small[1:] != small[:-1]) | (doc[1:] != doc[:-1])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=high - low))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(small[first].view(np.int32)))], ["doc_id", "shingles"]
+                    [ids.slice(low, high - low), *sums, pa.ListArray.from_arrays(pa.array(ends), pa.array(small[first].view(np.int32)))], ["doc_id", "w1", "w2", "shingles"]
                 )
 
     return run
@@ -91,8 +94,8 @@ def _shingle_sets(width: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (a, b) whose shingle sets have a Jaccard index of the threshold at least."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("text").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("text").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     size_a, size_b = F.size("sa"), F.size("sb")
     fits = F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)
@@ -112,25 +115,28 @@ def near_duplicates(
     first = signed.groupBy("w1", "w2").agg(F.min("doc_id").alias("b"), F.count("*").alias("n"))
     copies = signed.select("doc_id", "w1", "w2").join(first.where("n > 1"), ["w1", "w2"]).where("doc_id <> b")
     copies = copies.select(F.col("doc_id").alias("a"), "b")
-    sole = signed.join(first.select("w1", "w2", F.col("b").alias("doc_id")), ["w1", "w2", "doc_id"], "left_semi")
-    members = sole.select("doc_id", F.explode("bands").alias("bucket"))
+    part = (F.expr("row_number() over (partition by b order by w1, w2)") - 1).alias("part")
+    parts = cut(first.select(F.col("b").alias("doc_id"), "w1", "w2", part))
+    sole = signed.join(parts, ["doc_id", "w1", "w2"])
+    members = sole.select(F.struct("doc_id", "part").alias("text"), F.explode("bands").alias("bucket"))
     by_bucket = "over (partition by bucket)"
-    buckets = members.select("doc_id", "bucket", F.expr(f"min(doc_id) {by_bucket}").alias("least"), F.expr(f"max(doc_id) {by_bucket}").alias("most"))
+    buckets = members.select("text", "bucket", F.expr(f"min(text) {by_bucket}").alias("least"), F.expr(f"max(text) {by_bucket}").alias("most"))
     buckets = cut(buckets.where("least <> most"))
 
-    ids = buckets.select("doc_id").distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), f"doc_id {key_type}, shingles array<int>")
-    sets = cut(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")))
-    near = buckets.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    ids = parts.join(buckets.select("text.*").distinct(), ["doc_id", "part"], "left_semi")
+    shape = f"doc_id {key_type}, w1 bigint, w2 bigint, shingles array<int>"
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), shape).join(ids, ["doc_id", "w1", "w2"])
+    sets = cut(sets.groupBy("doc_id", "w1", "w2", "part").agg(F.first("shingles").alias("shingles")).select(F.struct("doc_id", "part").alias("text"), "shingles"))
+    near = buckets.where("text.doc_id <> least.doc_id").select(F.col("text").alias("a"), F.col("least").alias("b")).distinct()
     near = cut(_verified(near, sets, threshold))
 
-    groups = cut(connected_components(near))
-    placed = buckets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    groups = cut(connected_components(near.select("a.doc_id", "b.doc_id").toDF("a", "b")))
+    placed = buckets.select("bucket", "text", F.col("text.doc_id").alias("doc_id")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("bucket", "text", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     placed = placed.select("*", F.expr(f"min(root) {by_bucket}").alias("low"), F.expr(f"max(root) {by_bucket}").alias("high")).where("low <> high")
     rest = placed.alias("x").join(placed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    rest = rest.select(F.col("x.doc_id").alias("b"), F.col("y.doc_id").alias("a")).distinct().join(near, ["a", "b"], "left_anti")
-    rest = _verified(rest, sets, threshold)
+    rest = rest.select(F.col("x.text").alias("b"), F.col("y.text").alias("a")).distinct().join(near, ["a", "b"], "left_anti")
+    rest = _verified(rest, sets, threshold).select("a.doc_id", "b.doc_id").toDF("a", "b")
 
     links = copies.unionByName(groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).unionByName(rest)
     found = connected_components(links)

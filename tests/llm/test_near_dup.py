@@ -152,6 +152,15 @@ def test_one_id_with_two_texts_is_one_document(spark):
     assert {(r.doc_id, r.group_id) for r in near_dup.near_duplicates(table(spark, rows)).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_near_copies_of_one_of_several_texts(spark):
+    rng = random.Random(11)
+    a, b, c = (sentence(rng, 100) for _ in range(3))
+    near = lambda x: " ".join(x.split()[:-2] + ["new", "end"])
+    rows = [(5, a), (5, b), (5, c), (2, near(a)), (7, near(b)), (9, sentence(rng, 100))]
+    assert {(r.doc_id, r.group_id) for r in near_dup.near_duplicates(table(spark, rows)).collect()} == {(2, 2), (5, 2), (7, 2)}
+    assert near_dup.near_duplicates(table(spark, [(1, a), (1, near(a)), (2, b)])).count() == 0
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
     assert near_dup.drop_near_duplicates(table(spark, [])).count() == 0
