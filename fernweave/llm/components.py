@@ -11,9 +11,10 @@ from .cut import cut
 
 def _forest(batches):
     """Union-find over the edges of a partition: each node with its root, where they differ."""
-    parent: dict[int, int] = {}
+    parent: dict = {}
+    kind = None
 
-    def root(x: int) -> int:
+    def root(x):
         top = x
         while (up := parent.get(top, top)) != top:
             top = up
@@ -22,6 +23,7 @@ def _forest(batches):
         return top
 
     for batch in batches:
+        kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ra, rb = root(a), root(b)
             if ra != rb:
@@ -29,19 +31,21 @@ def _forest(batches):
     nodes = list(parent)
     for low in range(0, len(nodes), 100_000):
         part = nodes[low : low + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], ["a", "b"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the least node of the component.
 
+    Nodes are of any type that Spark and Python order alike: integers, strings, dates.
     Self-loops, repeated and reversed edges are allowed; no edges give no rows.  Every
     round ends in the shared folder.  The rounds are few: their number grows with the
     logarithm of the longest path.
     """
-    edges = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a is not null and b is not null")
+    edges = edges.select("a", "b").where("a is not null and b is not null")
+    kind = edges.schema["a"].dataType.simpleString()
     alone = edges.where("a = b")
-    forest = cut(edges.where("a <> b").mapInArrow(_forest, "a bigint, b bigint").where("a <> b"))
+    forest = cut(edges.where("a <> b").mapInArrow(_forest, f"a {kind}, b {kind}").where("a <> b"))
     seen = None
     while True:
         state = forest.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

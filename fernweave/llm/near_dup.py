@@ -7,7 +7,9 @@
    the least id in it; the pairs are verified by the exact Jaccard index of their shingle
    sets.  Then every pair of one bucket whose ends are still in different groups is
    verified too, so the outcome is that of verifying all pairs of every bucket, without
-   the quadratic work inside groups that already hang together.
+   the quadratic work inside groups that already hang together.  Pairs whose sizes rule
+   them out are never fetched, and a large bucket is paired block by block, in many tasks.
+   The shingles of a set are their 64-bit hashes.
 3. Groups are the connected components of the verified pairs: union-find inside each
    partition, then alternating large-star and small-star rounds across partitions.
 
@@ -15,7 +17,8 @@ Defined cases: a null doc_id takes no part.  A text that is null, empty or witho
 has no shingles and is never grouped.  A text of fewer than three words is one shingle.
 Rows that share a doc_id are one document, with the union of their matches: texts are
 compared row by row, as (doc_id, part) with a part for each of its unlike texts.  Ties are
-settled by the least doc_id, which is the one kept.  An empty table gives no rows.  Other
+settled by the least doc_id, which is the one kept.  A doc_id may be a string or any other
+type that has an order; group_id is of its type.  Very long texts are read whole.  An empty table gives no rows.  Other
 columns of the input are ignored, whatever their names.
 """
 
@@ -32,6 +35,8 @@ from .superminhash import SLOTS, bands, shingles, signatures
 from .tokens import mix, slices, words
 
 THRESHOLD, WIDTH, ROWS = 0.55, 3, 4
+#: Members of a bucket that one task pairs with all of the bucket.
+BLOCK = 2000
 _SLICE = 2_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -79,14 +84,14 @@ def _shingle_sets(width: int):
                 hashes, starts = words(texts.slice(low, high - low))
                 sums = [pa.array(w) for w in _word_sums(hashes, starts)]
                 elements, at = shingles(hashes, starts, width)
-                small = (elements >> np.uint64(32)).astype(np.uint32)
+                small = elements
                 order = np.lexsort([small, np.repeat(np.arange(high - low), np.diff(at))])
                 small, doc = small[order], np.repeat(np.arange(high - low), np.diff(at))
                 first = np.ones(len(small), bool)
                 first[1:] = (small[1:] != small[:-1]) | (doc[1:] != doc[:-1])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=high - low))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, high - low), *sums, pa.ListArray.from_arrays(pa.array(ends), pa.array(small[first].view(np.int32)))], ["doc_id", "w1", "w2", "shingles"]
+                    [ids.slice(low, high - low), *sums, pa.ListArray.from_arrays(pa.array(ends), pa.array(small[first].view(np.int64)))], ["doc_id", "w1", "w2", "shingles"]
                 )
 
     return run
@@ -104,7 +109,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, slots: int = SLOTS, rows: int = ROWS
+    docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, slots: int = SLOTS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
     """(doc_id, group_id, kept) for every document in a group of two or more; group_id is the group's least doc_id."""
     spark = docs.sparkSession
@@ -119,22 +124,26 @@ def near_duplicates(
     parts = cut(first.select(F.col("b").alias("doc_id"), "w1", "w2", part))
     sole = signed.join(parts, ["doc_id", "w1", "w2"])
     members = sole.select(F.struct("doc_id", "part").alias("text"), F.explode("bands").alias("bucket"))
-    by_bucket = "over (partition by bucket)"
-    buckets = members.select("text", "bucket", F.expr(f"min(text) {by_bucket}").alias("least"), F.expr(f"max(text) {by_bucket}").alias("most"))
-    buckets = cut(buckets.where("least <> most"))
+    ends = members.groupBy("bucket").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most")
+    buckets = cut(members.join(ends, "bucket").select("text", "bucket", "least"))
 
     ids = parts.join(buckets.select("text.*").distinct(), ["doc_id", "part"], "left_semi")
-    shape = f"doc_id {key_type}, w1 bigint, w2 bigint, shingles array<int>"
+    shape = f"doc_id {key_type}, w1 bigint, w2 bigint, shingles array<bigint>"
     sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), shape).join(ids, ["doc_id", "w1", "w2"])
-    sets = cut(sets.groupBy("doc_id", "w1", "w2", "part").agg(F.first("shingles").alias("shingles")).select(F.struct("doc_id", "part").alias("text"), "shingles"))
+    sets = cut(sets.groupBy("doc_id", "w1", "w2", "part").agg(F.first("shingles").alias("shingles")).select(F.struct("doc_id", "part").alias("text"), "shingles", F.size("shingles").alias("n")))
     near = buckets.where("text.doc_id <> least.doc_id").select(F.col("text").alias("a"), F.col("least").alias("b")).distinct()
     near = cut(_verified(near, sets, threshold))
 
     groups = cut(connected_components(near.select("a.doc_id", "b.doc_id").toDF("a", "b")))
     placed = buckets.select("bucket", "text", F.col("text.doc_id").alias("doc_id")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select("bucket", "text", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    placed = placed.select("*", F.expr(f"min(root) {by_bucket}").alias("low"), F.expr(f"max(root) {by_bucket}").alias("high")).where("low <> high")
-    rest = placed.alias("x").join(placed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("low <> high")
+    placed = cut(placed.join(open_.select("bucket", "blocks"), "bucket").join(sets.select("text", "n"), "text"))
+    x = placed.withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int")).alias("x")
+    y = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    fits = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block"))
+    rest = x.join(y, same & (F.col("x.root") != F.col("y.root")) & (F.col("x.doc_id") < F.col("y.doc_id")) & fits)
     rest = rest.select(F.col("x.text").alias("b"), F.col("y.text").alias("a")).distinct().join(near, ["a", "b"], "left_anti")
     rest = _verified(rest, sets, threshold).select("a.doc_id", "b.doc_id").toDF("a", "b")
 

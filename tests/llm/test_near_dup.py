@@ -164,3 +164,15 @@ def test_near_copies_of_one_of_several_texts(spark):
 def test_empty_table(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
     assert near_dup.drop_near_duplicates(table(spark, [])).count() == 0
+
+
+def test_ids_that_are_strings_and_small_blocks(spark):
+    rng = random.Random(11)
+    texts = [sentence(rng, 60) for _ in range(4)]
+    rows = [(f"d{k:03d}", t if k % 3 else edited(rng, t, 0.03)) for k, t in enumerate(texts * 6)] + [("z", None), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r.doc_id: (r.group_id, r.kept) for r in near_dup.near_duplicates(docs, block=2).collect()}
+    number = {i: n for n, (i, _) in enumerate(sorted(r for r in rows if r[0]))}
+    numbered = spark.createDataFrame([(number[i], t) for i, t in rows if i], "doc_id bigint, text string")
+    want = {r.doc_id: (r.group_id, r.kept) for r in near_dup.near_duplicates(numbered).collect()}
+    assert {number[i]: (number[g], k) for i, (g, k) in found.items()} == want and len(want) == 24
