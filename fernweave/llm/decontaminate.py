@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .matching import kept, lower_in_place
 
@@ -116,7 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, words): where a document repeats a benchmark item."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType
-    item_type = pa.int32() if item_kind.simpleString() == "int" else pa.int64() if item_kind.simpleString() == "bigint" else pa.string()
+    item_type = to_arrow_type(item_kind)
     found = None
     for group in _groups(benchmark):
         share = _share(docs, group)
