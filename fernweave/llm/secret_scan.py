@@ -3,8 +3,9 @@
 One Aho-Corasick automaton of keywords passes over each text in C.  Only where a keyword
 ends is the regular expression of its rule tried, anchored at the keyword's start.  A
 match whose format embeds a checksum counts only if the checksum holds: the base-62 CRC-32
-at the end of ghp_ and npm_ tokens, the account number inside AKIA key ids, the header of
-a JWT.  Rules without one ask for a minimal entropy.  What is assigned to a name with a
+at the end of ghp_ and npm_ tokens, also where such a token is assigned to a name.  Only
+those are reported as `valid`.  Other rules test what their format allows, without a
+checksum: the account number inside AKIA key ids, the header of a JWT, or a minimal entropy.  What is assigned to a name with a
 keyword in it is a secret from 16 characters on; neither it, the name nor the blanks
 between them have a greatest length, and a text takes linear time all the same.
 
@@ -89,10 +90,10 @@ _NAME, _GIVEN, _VALUE = r"[\w-]*+", r"""["']?\s*+(?::=|=>|=|:)\s*+["']?""", "[A-
 _RULES: list[tuple[str, tuple[str, ...], str, int, Callable[[str], bool], bool]] = [
     ("repository_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", 0, _crc_holds, True),
     ("package_token", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", 0, _crc_holds, True),
-    ("cloud_key_id", ("akia", "asia"), r"A[KS]IA[A-Z2-7]{16}(?![A-Z0-9])", 0, _account_holds, True),
-    ("web_token", ("eyj",), r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, _header_holds, True),
+    ("cloud_key_id", ("akia", "asia"), r"A[KS]IA[A-Z2-7]{16}(?![A-Z0-9])", 0, _account_holds, False),
+    ("web_token", ("eyj",), r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, _header_holds, False),
     ("project_token", ("glpat-",), r"glpat-[A-Za-z0-9_-]{20}(?![A-Za-z0-9_-])", 0, _varied, False),
-    ("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"xox[abprs]-[A-Za-z0-9-]{20,250}", 0, _varied, False),
+    ("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"xox[abprs]-[A-Za-z0-9-]{20,}+", 0, _varied, False),
     ("search_key", ("aiza",), r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", 0, _varied, False),
     ("payment_key", ("sk_live_", "rk_live_"), r"[sr]k_live_[A-Za-z0-9]{20,}", 0, _varied, False),
     ("private_key", ("-----begin ",), r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----[A-Za-z0-9+/=\s:,.()-]*?-----END \1-----", 0, lambda s: True, False),
@@ -141,11 +142,17 @@ def _assigned(text: str, places: list[int], rule: int) -> set[tuple[int, int, in
             counts, known, last = Counter(), end, end
         counts.update(text[start:known])
         known = start
-        if _varied_counts(counts):
+        if _varied_counts(counts) and not _spoilt(text, start, end):
             found.add((start, end, rule))
     return found
 
 
+def _spoilt(text: str, start: int, end: int) -> bool:
+    """Whether a value has the whole form of a token with a checksum, and the checksum is wrong."""
+    checked = (rule for rule in _RULES if rule[5] and text.startswith(rule[1], start))
+    return any(re.compile(rule[2]).fullmatch(text, start, end) and not rule[4](text[start:end]) for rule in checked)
+
+
 def _settle(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     for start, end, rule in sorted(found, key=lambda x: (x[0], x[2], -x[1])):

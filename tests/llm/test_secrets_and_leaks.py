@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from datetime import date
 
 import pytest
 
@@ -183,3 +184,27 @@ def test_a_large_benchmark_takes_several_passes(spark, monkeypatch):
 
 def test_fresh_names():
     assert fresh("n", ["N", "n_"]) == "n__" and fresh("n", ["m"]) == "n"
+
+
+def test_a_block_that_an_item_has_twice_and_ids_of_other_types(spark):
+    p, a, c = ("p1 p2 p3 p4 p5 p6", "a1 a2 a3 a4 a5 a6", "c1 c2 c3 c4 c5 c6")
+    item = " ".join([p, a, p, c])
+    text = " ".join(item.split()[6:19])
+    assert [x[0] for x in D.Leaks([(7, item)]).find(text)] == [7]
+    docs = spark.createDataFrame([("x", text)], "doc_id string, text string")
+    for kind, item_id in (("smallint", 7), ("string", "seven"), ("date", date(2024, 1, 2))):
+        found = D.leaks(docs, spark.createDataFrame([(item_id, item)], f"item_id {kind}, text string")).collect()
+        assert [(r.doc_id, r.item_id, r.words) for r in found] == [("x", item_id, 13)]
+
+
+def test_secrets_of_any_length_and_checksums_that_decide():
+    body = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0"
+    good, bad = f"ghp_{body}{S.crc_tail(body)}", f"ghp_{body}000000"
+    assert S.find_secrets(f"token={good}") and S.find_secrets(good)
+    assert not S.find_secrets(bad) and not S.find_secrets(f"token={bad}")
+    chat = "xoxb-" + "1a2B3c4D5e" * 30
+    assert [text for text in [S.redacted(f"see {chat} end")]] == ["see [REDACTED:chat_token] end"]
+    for size in (513, 600, 5000):
+        value = ("aB3dE6gH9j" * 600)[:size]
+        assert [(a, b) for a, b, _ in S.find_secrets(f'api_key_v2      =      "{value}"')] == [(24, 24 + size)]
+    assert [S.rule_name(n) for n in range(10) if S.has_checksum(n)] == ["repository_token", "package_token"]
