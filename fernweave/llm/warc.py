@@ -44,7 +44,8 @@ def canonical_url(url: Column) -> Column:
 def _lower_keys(headers: Column) -> Column:
     """The headers as a sorted array of (name, value); of names equal in lower case the last value counts."""
     entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
-    return F.coalesce(entries, F.expr("cast(array() as array<struct<name:string,value:string>>)"))
+    last = F.filter(entries, lambda e, i: F.size(entries) - F.array_position(F.reverse(F.transform(entries, lambda o: o["name"])), e["name"]) == i)
+    return F.coalesce(last, F.expr("cast(array() as array<struct<name:string,value:string>>)"))
 
 
 def _header(entries: Column, name: str) -> Column:

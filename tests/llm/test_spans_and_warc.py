@@ -160,3 +160,15 @@ def test_no_records(spark):
     assert W.resolve_revisits(records(spark, [])).count() == 0
     same = [(1, "a.com", 0, "response", {}, "D", "b"), (1, "a.com", 0, "response", {}, "D", "a"), (2, "a.com", 1, "revisit", {}, "D", None)]
     assert [r.payload for r in W.resolve_revisits(records(spark, same)).collect()] == ["a"]
+
+
+def test_header_names_that_differ_by_case(spark):
+    shape = "record_id bigint, url string, ts timestamp, kind string, status int, entries array<struct<k:string,v:string>>, digest string, payload string"
+    at = datetime(2024, 1, 1)
+    rows = [
+        (1, "http://a.org/", at, "response", 200, [("Server", "one"), ("ETag", "x"), ("SERVER", "two")], "d", "body" * 100_000),
+        (2, "http://a.org/", at + timedelta(hours=1), "revisit", 304, [("Etag", "y"), ("etag", "x"), ("DATE", "now")], None, None),
+    ]
+    records = spark.createDataFrame(rows, shape).selectExpr("*", "map_from_entries(entries) as headers").drop("entries")
+    found = W.resolve_revisits(records).collect()
+    assert [(r.outcome, r.headers, len(r.payload or "")) for r in found] == [("resolved", "date: now\netag: x\nserver: two", 400_000)]
