@@ -4,8 +4,9 @@ The target share of a source over its present share of the characters is its mea
 repetition rate.  Each document gets a count from the Poisson distribution of that mean,
 by inversion of a uniform number made from the MD5 of a seed and its doc_id: the count is
 the number of values of the cumulative distribution that do not exceed it.  Documents are
-exploded by their counts and spread by a second hash, so that the order of the output,
-partitions one after another, is a random permutation fixed by the seed.
+exploded by their counts and spread by a second hash: each partition takes an equal part
+of its range and sorts it, so that the order of the output, partitions one after another,
+is a random permutation fixed by the seed, whatever the number of partitions.
 
 Without given weights the target is tempered: a source's share is proportional to its
 present size to the power ALPHA.
@@ -13,7 +14,8 @@ present size to the power ALPHA.
 Defined cases: a null source is a source of its own.  A source without characters, or with
 weight 0 or none among given weights, has rate 0 and no copies.  A null doc_id draws by
 the MD5 of its text; repeated rows of one doc_id draw alike.  A null text counts 0
-characters.  An empty table gives no rows.  The added columns copy_no and mix_key get
+characters.  Very long texts are read whole.  Copies that tie in mix_key follow by doc_id,
+then copy_no; rows that tie in all three come in any order.  An empty table gives no rows.  The added columns copy_no and mix_key get
 trailing underscores where the input has such names.
 """
 
@@ -26,8 +28,8 @@ from .cut import cut
 from .matching import fresh
 
 ALPHA, SEED = 0.5, "fernweave"
-#: Sources whose rates are broadcast; with more of them the rates are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
+#: Numbers in the distributions of all sources that are broadcast (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_NUMBERS = 1_000_000
 _UNIT = float(1 << 52)
 
 
@@ -66,7 +68,7 @@ def _uniform(key, what: str):
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA) -> DataFrame:
     """Every document as often as drawn, with copy_no from 0 and mix_key, by which the output is spread and sorted."""
     table = cut(_distributions(source_rates(docs, weights, alpha)))
-    small = table.count() <= BROADCAST_SOURCES
+    small = (table.agg(F.sum(F.size("cdf") + 8)).first()[0] or 0) <= BROADCAST_NUMBERS
     copy_no, mix_key = fresh("copy_no", docs.columns), fresh("mix_key", docs.columns)
     names = [fresh(x, [*docs.columns, copy_no, mix_key]) for x in ("mix_source", "cdf", "mix_draw")]
     table = table.toDF(*names[:2])
@@ -77,7 +79,9 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     copies = drawn.withColumn(names[2], count).where(F.col(names[2]) > 0)
     copies = copies.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(names[2]) - 1)).alias(copy_no))
     spread = copies.withColumn(mix_key, _uniform(F.concat(key, F.lit(":"), F.col(copy_no).cast("string")), "order"))
-    return spread.repartition(F.col(mix_key)).sortWithinPartitions(mix_key)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each takes an equal part of the keys' range, in order
+    width = -(-int(_UNIT) // parts)
+    return spread.repartitionById(parts, F.expr(f"cast(`{mix_key}` div {width} as int)")).sortWithinPartitions(mix_key, "doc_id", copy_no)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
