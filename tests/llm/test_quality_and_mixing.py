@@ -1,6 +1,6 @@
 import math
 import random
-from collections import defaultdict
+from collections import Counter
 
 import duckdb
 import pytest
@@ -27,7 +27,7 @@ def corpus():
     return rows + [(1000 + i, t, "en", "a") for i, t in enumerate(bad)]
 
 
-def brute_kept(rows, min_docs):
+def brute_kept(rows, prior):
     """The rules in plain Python, with quantiles from all values' bucket representatives."""
     import re
 
@@ -36,7 +36,7 @@ def brute_kept(rows, min_docs):
 
     def measure(t):
         if t is None:
-            return dict.fromkeys(Q.LEAST_RANGE, 0)
+            return dict.fromkeys(Q.RATES, 0)
         words = [w for w in re.split(r"[ \n]+", t.lower()) if w]
         said = [s for s in re.split(r"[.!?\n]+ *", t) if s]
         return {
@@ -47,34 +47,77 @@ def brute_kept(rows, min_docs):
     def bucket(v):
         return math.ceil(math.log(v + 1.0) / math.log(Q.GAMMA))
 
+    def value(v):
+        return round(2 * Q.GAMMA ** bucket(v) / (Q.GAMMA + 1) - 1)
+
     measured = [(r, measure(r[1])) for r in rows]
-    groups = defaultdict(list)
-    for (_, _, lang, source), m in measured:
-        for key in ((lang, source), (lang,), ()):
-            groups[key].append(m)
-
-    def fence(key, name):
-        b = sorted(bucket(m[name]) for m in groups[key])
-        low, high = (2 * Q.GAMMA ** b[math.ceil(len(b) * q) - 1] / (Q.GAMMA + 1) - 1 for q in (0.25, 0.75))
-        return high + Q.FENCE * max(high - low, Q.LEAST_RANGE[name])
-
-    out = []
-    for (i, t, lang, source), m in measured:
-        key = next(k for k in ((lang, source), (lang,), ()) if len(groups[k]) >= min_docs or not k)
-        if t and t.strip() and all(m[k] <= fence(key, k) for k in Q.LEAST_RANGE):
-            out.append(i)
-    return out
-
-
-@pytest.mark.parametrize("min_docs", [1, 60, 140, 10_000])
-def test_quality_matches_brute_force(spark, min_docs):
+
+    def split(weights):
+        """(share of the variance explained, fence) of the best split; ties go to the greater values."""
+        values, total = sorted(weights), sum(weights.values())
+        mean = sum(v * w for v, w in weights.items()) / total
+        variance = sum(w * (v - mean) ** 2 for v, w in weights.items()) / total
+        best = (0, None)
+        for low, high in zip(values, values[1:]):
+            w0 = sum(w for v, w in weights.items() if v <= low)
+            m0 = sum(v * w for v, w in weights.items() if v <= low) / w0
+            m1 = sum(v * w for v, w in weights.items() if v > low) / (total - w0)
+            best = max(best, (round((m0 - m1) ** 2 * w0 / total * (1 - w0 / total) / variance, 6), (low + high) / 2))
+        return best
+
+    def fence(lang, source, name):
+        mine = Counter(value(m[name]) for r, m in measured if r[2:] == (lang, source))
+        wide = Counter(value(m[name]) for r, m in measured if r[2] == lang)
+        weights = {v: mine[v] * wide.total() + prior * n for v, n in wide.items()}
+        weights = {v: w for v, w in weights.items() if w}
+        at, (share, once) = None, split(weights)
+        if share >= Q.APART:
+            at = once
+            share, twice = split({v: w for v, w in weights.items() if v < once})
+            at = twice if share >= Q.APART else once
+        total, upto, quartiles = sum(weights.values()), 0, []
+        for v in sorted(weights):
+            upto += weights[v]
+            while len(quartiles) < 2 and upto >= total * (0.25, 0.75)[len(quartiles)]:
+                quartiles.append(v)
+        low, high = quartiles
+        if at is None and low == high:
+            return math.inf
+        return max(high + Q.FENCE * (high - low), -1 if at is None else at)
+
+    fences = {key: {k: fence(*key, k) for k in Q.RATES} for key in {r[2:] for r, _ in measured}}
+    return [r[0] for r, m in measured if r[1] and r[1].strip() and all(m[k] <= fences[r[2:]][k] for k in Q.RATES)]
+
+
+@pytest.mark.parametrize("prior", [0, 10, 100, 10_000])
+def test_quality_matches_brute_force(spark, prior):
     rows = corpus()
-    left = Q.keep_good(table(spark, rows), min_docs)
+    left = Q.keep_good(table(spark, rows), prior)
     assert left.columns == [c.split()[0] for c in SHAPE.split(", ")]
     ids = sorted(r.doc_id for r in left.select("doc_id").collect())
-    assert ids == sorted(brute_kept(rows, min_docs))
-    if min_docs == 60:
-        assert all(i < 1000 for i in ids) and len(ids) == 400
+    assert ids == sorted(brute_kept(rows, prior))
+    if prior == 100:
+        assert all(i < 1000 for i in ids) and len(ids) >= 395
+
+
+def test_fences_follow_a_shifted_group(spark):
+    """Of two sources with the same spread, one uses three times as many capitals; each has its own rejects."""
+    rng = random.Random(6)
+
+    def text(capitals):
+        return "".join(rng.choice("ABCDEF") if rng.random() < capitals else rng.choice("abcdefghij   ") for _ in range(1500))
+
+    rows = [(i, text(0.10 + 0.02 * rng.random()), "en", "calm") for i in range(300)] + [(1000 + i, text(0.30 + 0.02 * rng.random()), "en", "loud") for i in range(300)]
+    rows += [(500, text(0.30), "en", "calm"), (1500, text(0.55), "en", "loud")]
+    fences = {r.source: r.capitals for r in Q.thresholds(table(spark, rows), 0).collect()}
+    assert fences["calm"] < 290 and 330 < fences["loud"] < 520
+    kept = {r.doc_id for r in Q.keep_good(table(spark, rows), 0).collect()}
+    assert 500 not in kept and 1500 not in kept and len(kept) >= 590
+
+
+def test_a_group_without_spread_has_no_fence(spark):
+    rows = [(i, "same words in every row", "en", "a") for i in range(20)]
+    assert Q.thresholds(table(spark, rows)).first().symbols is None and Q.keep_good(table(spark, rows)).count() == 20
 
 
 def test_sketches_merge(spark):
@@ -150,3 +193,16 @@ def test_mixing_edges(spark):
     assert all(s != "void" for _, s in out) and sum(s == "a" for _, s in out) % 2 == 0
     assert M.mix_sources(table(spark, rows), {"a": 0}).count() == 0
     assert M.mix_sources(table(spark, rows), {"b": 1}).where("source = 'a'").count() == 0
+
+
+def test_order_of_the_mix_does_not_follow_the_partitions(spark):
+    rows = [(i, f"text {i}", "en", "ab"[i % 2]) for i in range(300)]
+    orders = []
+    for parts in ("4", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        mixed = M.mix_sources(table(spark, rows))
+        pieces = mixed.withColumn("part", F.spark_partition_id()).collect()
+        assert [r.part for r in pieces] == sorted(r.part for r in pieces)
+        orders.append([(r.doc_id, r.mix_key) for r in pieces])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert orders[0] == orders[1] and [k for _, k in orders[0]] == sorted(k for _, k in orders[0])
