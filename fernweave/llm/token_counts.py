@@ -8,10 +8,13 @@
    pre-token meet.  There its pieces are counted once, and each chunk gets its answers as
    one byte string, aligned with what it asked.
 3. Frequencies and answers join by chunk; a document's count is the sum of frequency times
-   pieces.  No list of ids is ever made.
+   pieces.  No text is ever turned into ids: a pre-token is encoded by itself, once in the
+   whole corpus, and only the number of its pieces is kept.
 
 Shuffled are the distinct pre-tokens of each chunk and the packed frequencies, never texts.
-A chunk ends at CHUNK_TOKENS distinct pre-tokens or with its partition.
+A chunk ends at CHUNK_TOKENS distinct pre-tokens or with its partition; a bucket's dictionary
+is dropped when the next bucket begins.  The vocabulary is a file on the driver, of
+VOCABULARY_BYTES at most; its content travels with the job, so executors need no such file.
 
 Defined cases: a null text counts 0, as an empty one does.  A null doc_id stays null and
 repeated rows each get their row.  An empty table gives no rows.  Very long texts are read
@@ -21,6 +24,8 @@ whole.  Special tokens written out in a text are ordinary text.  Other columns a
 from __future__ import annotations
 
 import base64
+import hashlib
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +35,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +45,18 @@ from .matching import kept
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK_TOKENS = 500_000
+#: Greatest size of a vocabulary file; it is broadcast.
+VOCABULARY_BYTES = 64 << 20
 
 
-def encoding(vocabulary: str, pattern: str) -> tiktoken.Encoding:
+def encoding(vocabulary: bytes, pattern: str) -> tiktoken.Encoding:
+    """The tokenizer of a vocabulary file's content."""
+
     def load() -> tiktoken.Encoding:
-        with open(vocabulary, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         return tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    return kept(("encoding", vocabulary, pattern), load)
+    return kept(("encoding", hashlib.sha256(vocabulary).digest(), pattern), load)
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
@@ -137,16 +145,18 @@ def _gather(pattern: str, buckets: int, most: int):
     return run
 
 
-def _count_pieces(vocabulary: str, pattern: str):
-    """Answers to all that was asked in a partition; a pre-token is encoded once."""
+def _count_pieces(vocabulary: Broadcast, pattern: str):
+    """Answers to all that was asked in a partition, bucket after bucket; a pre-token is encoded once, in its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[bytes, int] = {}
-        model = None
+        model, open_ = None, None
         for batch in batches:
-            model = model or encoding(vocabulary, pattern)
+            model = model or encoding(vocabulary.value, pattern)
             answers = []
-            for blob in batch.column(2).to_pylist():
+            for bucket, blob in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
+                if bucket != open_:
+                    pieces, open_ = {}, bucket
                 words = _unpack_words(blob)
                 for word in words:
                     if word not in pieces:
@@ -185,8 +195,12 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shape = f"chunk bigint, bucket int, ids array<{kind}>, places binary, words binary, often binary"
     packed = stored(docs.select("doc_id", "text").mapInArrow(_gather(pattern, buckets, chunk_tokens), shape))
-    asked = packed.where("bucket >= 0").repartition("bucket").select("chunk", "places", "words")
-    answers = asked.mapInArrow(_count_pieces(vocabulary, pattern), "chunk bigint, places binary, pieces binary")
+    asked = packed.where("bucket >= 0").select("chunk", "places", "words", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+    if os.path.getsize(vocabulary) > VOCABULARY_BYTES:
+        raise ValueError(f"{vocabulary} is larger than VOCABULARY_BYTES")
+    with open(vocabulary, "rb") as file:
+        shared = spark.sparkContext.broadcast(file.read())
+    answers = asked.mapInArrow(_count_pieces(shared, pattern), "chunk bigint, places binary, pieces binary")
     frequencies = packed.where("bucket < 0").select("chunk", "ids", "places", "words", "often")
     joined = frequencies.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return joined.applyInArrow(_sum, f"doc_id {kind}, n_pre_tokens bigint, n_tokens bigint")
