@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from fernweave.llm import licence_scan as L
@@ -21,7 +22,7 @@ def model():
 
 
 def test_held_out_accuracy(model):
-    assert model.held_out_accuracy > 0.95 and 0.5 <= model.least < 1
+    assert model.held_out_accuracy > 0.7 and model.held_out_family > 0.7 and 0.5 <= model.least < 1
 
 
 @pytest.mark.parametrize("text, family", [
@@ -37,21 +38,6 @@ def test_prose_states_no_licence(model):
     assert all(model.classify(t)[0] == f for f, ts in TEMPLATES.items() for t in ts[:1])
 
 
-def brute_lines(text):
-    """Every line of the text, tested for an anchor by plain search."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if any(a in line.lower() for a in L.ANCHORS):
-            out.append((at, at + len(line)))
-        at += len(line) + 1
-    return out
-
-
-@pytest.mark.parametrize("text", ["a\nLicense x\n\nb GPL", "İ\nlicence", "gpl gpl\ngpl", "none", "\n\nbsd\n", "cc\nby"])
-def test_anchored_lines(text):
-    assert L.licence_lines(text) == brute_lines(text)
-
-
 def test_scan(spark, model):
     long = "filler text\n" * 100_000 + "Released under the MIT License."
     rows = [(1, "x\nReleased under the MIT License.\ny"), (1, "x\nReleased under the MIT License.\ny"), (None, "All rights reserved."), (2, None), (3, ""), (4, "plain"), (5, long)]
@@ -68,16 +54,50 @@ def lines_of(text):
         at += len(line) + 1
 
 
+def brute_statements(model, text):
+    """The definition: every line classified, doubtful neighbours also as one paragraph."""
+    out, run, gap = [], [], []
+
+    def close():
+        said = [(a, b, model.classify(text[a:b])) for a, b in run]
+        if len(run) > 1:
+            whole = model.classify(text[run[0][0] : run[-1][1]])
+            if whole and whole[0] != "unknown" and all(s is None or s[0] in ("unknown", whole[0]) for _, _, s in said):
+                said = [(run[0][0], run[-1][1], whole)]
+        out.extend((a, b, s[0]) for a, b, s in said if s)
+        run.clear()
+
+    for a, b in lines_of(text):
+        if margin(model, text[a:b]) > -L.MARGIN:
+            if len(gap) > L.BRIDGE or any(not text[x:y].strip() for x, y in gap) or a == b:
+                close()
+            run.append((a, b))
+            gap = []
+        else:
+            gap.append((a, b))
+    close()
+    return out
+
+
+def margin(model, text):
+    rows = model._rows_of(text)
+    scores = model.weights[rows].astype(float).sum(axis=0) + model.bias.astype(float)
+    return (scores[:-1] - scores[-1]).max()
+
+
 def test_every_paragraph_is_classified(spark, model):
     rng = random.Random(4)
     known = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.split()}) + ["filler", "ΑΣ", "İx", "\n", "\n", "\n\n"]
     pieces = [*known, *("\n" + t for ts in TEMPLATES.values() for t in ts), "Released under MIT.\n", "Distributed under the Boost terms\n", "Creative-Commons Attribution 4.0\n"]
     texts = [" ".join(rng.choices(pieces if n % 2 else known, k=rng.randint(1, 80))) for n in range(300)]
-    want = {(i, a, b) for i, t in enumerate(texts) for a, b in lines_of(t) if model.classify(t[a:b]) is not None}
+    stated = {(i, a, b) for i, t in enumerate(texts) for a, b in lines_of(t) if model.classify(t[a:b]) is not None}
     found = model.doubtful(texts)
-    assert len(found) == len(set(found)) and {(i, a, b) for i, a, b in found if model.classify(texts[i][a:b]) is not None} == want
-    rows = {(r.doc_id, r.start, r.end) for r in L.scan_licences(table(spark, [*enumerate(texts), (900, None), (901, "")]), model).collect()}
-    assert rows == want and any(not any(x in texts[i][a:b].lower() for x in L.ANCHORS) for i, a, b in want)
+    assert len(found) == len(set(found)) and {(i, a, b) for i, a, b in found if model.classify(texts[i][a:b]) is not None} == stated
+    want = sorted((i, *row) for i, t in enumerate(texts) for row in brute_statements(model, t))
+    rows = L.scan_licences(table(spark, [*enumerate(texts), (900, None), (901, "")]), model).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.family) for r in rows) == want and len(want) > 100
+    joined = {(i, a, b) for i, a, b, _ in want} - stated
+    assert joined and all("\n" in texts[i][a:b] for i, a, b in joined)
 
 
 @pytest.mark.parametrize("text, family", [("x\nReleased under MIT.\ny", "MIT"), ("x\nDistributed under the Boost terms", "unknown"), ("Creative-Commons Attribution 4.0\n", "CC-BY")])
@@ -85,6 +105,15 @@ def test_statements_without_an_anchor(model, text, family):
     assert [model.classify(text[a:b])[0] for i, a, b in model.doubtful([text]) if model.classify(text[a:b])] == [family]
 
 
+def test_a_wrapped_notice_is_one_paragraph(spark, model):
+    notice = TEMPLATES["Apache"][1].split()
+    wrapped = "\n".join(" ".join(notice[k : k + 5]) for k in range(0, len(notice), 5))
+    text = f"A story begins here and goes on.\n{wrapped}\nThe end of the story is near."
+    found = L.scan_licences(table(spark, [(1, text)]), model).collect()
+    (row,) = found  # it ends with the last line that is not surely of no licence
+    assert (row.start, row.family) == (33, "Apache") and row.end > 33 + len(wrapped) // 3
+
+
 def test_words_of_notices_in_other_texts_state_no_licence():
     rng = random.Random(5)
     german = [" ".join(rng.choices(["Haus", "Baum", "die", "Stadt", "der", "geht", "kleine", "Dorf"], k=12) + ["mit"] + rng.choices(["Hund", "Katze", "ihm"], k=2)) + "." for _ in range(300)]
@@ -103,7 +132,8 @@ TOKEN_TEXTS = ["Hello  world's\n\n end   ", "", None, "日本語 テキスト 12
 
 
 def encoder():
-    return T.encoding(T.VOCABULARY, T.PATTERN)
+    with open(T.VOCABULARY, "rb") as file:
+        return T.encoding(file.read(), T.PATTERN)
 
 
 @pytest.mark.parametrize("most", [1, 3, 500_000])
@@ -169,16 +199,24 @@ CORPUS = ["abracadabra", "abra", "cadabra abra", "", None, "zebra ä", "bra" * 1
 
 @pytest.mark.parametrize("order, least", [(1, 1), (2, 2), (3, 1), (5, 2), (5, 3)])
 @pytest.mark.parametrize("table_size", [1, M._TABLE])
-def test_scores_match_the_definition(spark, monkeypatch, order, least, table_size):
-    plain = Plain(CORPUS, order, least, M.DISCOUNT)
-    counts = M.ngram_counts(CORPUS, order)
+@pytest.mark.parametrize("wide", [False, True])
+def test_scores_match_the_definition(monkeypatch, order, least, table_size, wide):
+    """wide: with more letters than fit an integer five at a time, and texts walked in segments and slices."""
+    texts = [*CORPUS, "abrax", "unseen ß", "zzz", "abra cadabra " * 9]
+    corpus = [*CORPUS, *(chr(0x4E00 + i) for i in range(5000))] if wide else CORPUS
+    if wide:
+        monkeypatch.setattr(M, "SEGMENT", 6)
+        monkeypatch.setattr(M, "_SLICE", 30)
+        monkeypatch.setattr(M, "_DENSE", 1)
+    plain = Plain(corpus, order, least, M.DISCOUNT)
+    counts = {r["gram"]: r["n"] for r in M.ngram_counts(pa.array(corpus, pa.string()), order).to_pylist()}
     assert {g: n for g, n in counts.items() if n} == {g: n for g, n in plain.counts.items() if not g == M.START}
     stats = {g: (plain.known.get(g, 0), plain.c.get(g, 0), plain.k.get(g, 0), plain.n.get(g, 0)) for g in {*plain.known, "", M.START, *plain.c} if g in plain.known or g in ("", M.START)}
     monkeypatch.setattr(M, "_TABLE", table_size)
-    automaton = M.Automaton(list(stats), *map(list, zip(*stats.values())), order, M.DISCOUNT)
-    assert (automaton.goto is None) == (table_size == 1)
-    texts = [*CORPUS, "abrax", "unseen ß", "zzz"]
-    assert automaton.score(texts).tolist() == pytest.approx([plain.score(t) for t in texts], rel=1e-9)
+    sent = pa.table([pa.array(list(stats), pa.string()), *(pa.array(x, pa.int64()) for x in zip(*stats.values()))], ["gram", "n", "followed", "known", "kinds"])
+    automaton = M.Automaton(sent, order, M.DISCOUNT)
+    assert automaton.arc is None if table_size == 1 else wide or automaton.arc is not None
+    assert automaton.score(pa.array(texts, pa.string())).tolist() == pytest.approx([plain.score(t) for t in texts], rel=1e-9)
 
 
 def test_probabilities_of_a_context_sum_to_one():
