@@ -7,6 +7,7 @@ operation that is repeated changes nothing.  GraphStore keeps a Graph in a folde
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -91,6 +92,8 @@ class Graph:
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: Where a store loaded it from: folder, mark and tables then.
+    origin: tuple[str, dict[str, str], dict[str, DataFrame]] | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self.tables:
@@ -98,7 +101,7 @@ class Graph:
         return self.spark.createDataFrame([], schemas.NODES[name][1] if name in schemas.NODES else schemas.EDGES[name][2])
 
     def put(self, **tables: DataFrame) -> Graph:
-        return Graph(self.spark, self.tables | tables)
+        return Graph(self.spark, self.tables | tables, self.origin)
 
     def settle(self, *names: str) -> Graph:
         """The same graph, these tables computed once and read from the shared folder from here on."""
@@ -309,8 +312,10 @@ def distinct_dependencies(dependencies: DataFrame) -> DataFrame:
 class GraphStore:
     """A Graph in a folder of Parquet tables.
 
-    A commit writes a new generation beside the old ones and last its mark, so a reader sees
-    all of it or nothing, and a commit that fails leaves the generation before in force.
+    A commit writes the tables that differ from the loaded ones as a new generation, and
+    last its mark, which names the generation of every table; so a reader sees all of it or
+    nothing, a commit that fails leaves the one before in force, and a table that a commit
+    does not touch is not written again.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -321,31 +326,53 @@ class GraphStore:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _generations(self) -> tuple[list[str], str | None]:
-        """(all generations, the latest that has its mark)."""
+    def _mark(self, generation: str) -> dict[str, str] | None:
+        """The generation of every table, or None where the mark is missing."""
+        files, path = self._hadoop(f"{generation}/COMMITTED")
+        if not files.exists(path):
+            return None
+        stream = files.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _generations(self) -> tuple[list[str], str | None, dict[str, str]]:
+        """(all generations, the latest that has its mark, and that mark)."""
         files, top = self._hadoop("")
         found = sorted(n for s in files.listStatus(top) if (n := s.getPath().getName()).startswith("g-")) if files.exists(top) else []
-        whole = (n for n in reversed(found) if files.exists(self._hadoop(f"{n}/COMMITTED")[1]))
-        return found, next(whole, None)
+        for name in reversed(found):
+            if (mark := self._mark(name)) is not None:
+                return found, name, mark
+        return found, None, {}
 
     def load(self) -> Graph:
-        _, generation = self._generations()
+        _, generation, mark = self._generations()
         if generation is None:
             return Graph(self.spark)
         shapes = {k: v[1] for k, v in schemas.NODES.items()} | {k: v[2] for k, v in schemas.EDGES.items()}
-        return Graph(self.spark, {name: self.spark.read.schema(shape).parquet(f"{self.folder}/{generation}/{name}") for name, shape in shapes.items()})
+        tables = {name: self.spark.read.schema(shape).parquet(f"{self.folder}/{mark[name]}/{name}") for name, shape in shapes.items()}
+        return Graph(self.spark, tables, (self.folder, mark, dict(tables)))
 
     def commit(self, graph: Graph) -> Graph:
-        """Writes every table, then the mark; generations but this and the one before are removed."""
-        known, before = self._generations()
+        """Writes what changed, then the mark; generations that neither this nor the one before needs are removed."""
+        known, before, old = self._generations()
         number = int(known[-1].split("-")[1]) + 1 if known else 1
-        generation = f"g-{number:010d}-{uuid.uuid4().hex}"
+        generation, mark = f"g-{number:010d}-{uuid.uuid4().hex}", {}
+        folder, base, tables = graph.origin or (None, None, {})
         for name in [*schemas.NODES, *schemas.EDGES]:
-            graph[name].write.parquet(f"{self.folder}/{generation}/{name}")
-        files, mark = self._hadoop(f"{generation}/COMMITTED")
-        files.create(mark, False).close()
+            if folder == self.folder and base == old and graph.tables.get(name) is tables.get(name):
+                mark[name] = old[name]
+            else:
+                graph[name].write.parquet(f"{self.folder}/{generation}/{name}")
+                mark[name] = generation
+        files, path = self._hadoop(f"{generation}/COMMITTED")
+        stream = files.create(path, False)
+        stream.write(bytearray(json.dumps(mark).encode()))
+        stream.close()
+        needed = {before, *mark.values(), *old.values()}
         for name in known:
-            if name != before:
+            if name not in needed:
                 files.delete(self._hadoop(name)[1], True)
         return self.load()
 

@@ -21,7 +21,7 @@ from ..functions import accessibility as A
 
 XAML_SPACES = frozenset((
     *(f"http://schemas.microsoft.com/{name}" for name in ("client/2007", "dotnet/2021/maui", "winfx/2006/xaml", "winfx/2006/xaml/presentation", "winfx/2009/xaml")),
-    "http:" "//xamarin.com/schemas/2014/forms", "https://github.com/avaloniaui",
+    "http://xamarin.com/schemas/2014/forms", "https://github.com/avaloniaui",
 ))
 _BINDING = re.compile(r"^[{]Binding\s+(\S+?)(\s*,.*)?[}]$")
 _EVENT_ENDS = ("Click", "Changed", "Loaded", "Pressed", "Released")

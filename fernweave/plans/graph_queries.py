@@ -204,9 +204,24 @@ def external_usings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzer.external_usings(usings, spark.createDataFrame([("N1",), ("N4",)], "name string"))
 
 
-@query("SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type")
+@query("""WITH alive AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus <> 'P')
+SELECT DISTINCT 'c' || o_custkey AS src_key, 'o' || o_orderkey AS dst_key FROM orders WHERE o_orderstatus <> 'P' OR o_custkey NOT IN (SELECT o_custkey FROM alive)""")
 def microbatch_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of files, flushed batch by batch into a keyed table; the end equals the batch result."""
-    from ..streaming.flush import count_stream
-
-    return count_stream(spark, f"{sf_dir}/events.parquet", "event_type")
+    """Orders as a stream of symbols, flushed batch by batch into a stored graph that held all of them; what no batch brought is swept."""
+    from ..operators.store import GraphStore
+    from ..sources.shared import shared_folder
+    from ..streaming.flush import flush_symbols, open_stream
+
+    store, none = GraphStore(spark, shared_folder(spark, "store")), F.lit(None).cast("string")
+
+    def symbols(orders: DataFrame) -> DataFrame:
+        return orders.select(
+            F.concat(F.lit("o"), "o_orderkey").alias("key"), F.lit("x").alias("name"), F.concat(F.lit("c"), "o_custkey").alias("file_key"), F.lit("").alias("relative_path"), none.alias("documentation"),
+            none.alias("comments"), none.alias("namespace"), F.lit(0).alias("ordinal"),
+        )
+
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("key")).distinct()
+    graph = Graph(spark)
+    store.commit(graph.put(file=merge(graph["file"], files, "key")).upsert_symbols(symbols(table(spark, sf_dir, "orders"))))
+    stream = open_stream(spark, f"{sf_dir}/orders.parquet", 1).where("o_orderstatus <> 'P'")
+    return flush_symbols(symbols(stream), store, shared_folder(spark, "stream"))["declares"].select("src_key", "dst_key")

@@ -45,12 +45,19 @@ def count_stream(spark: SparkSession, path: str, key: str, files_per_batch: int
 
 
 def flush_symbols(stream: DataFrame, store: GraphStore, folder: str) -> Graph:
-    """Symbol rows (with ordinal) of a stream merged into the stored graph, a commit per batch."""
+    """Symbol rows (with ordinal) of a stream merged into the stored graph, a commit per batch.
+
+    The symbols of one file may come in several batches, so what a file no longer declares
+    is swept once, after the stream: every batch leaves its keys and files under its number.
+    """
 
     def flush(batch: DataFrame, number: int) -> None:
-        graph = store.load().upsert_symbols(batch)
-        keep = batch.select("key")
-        store.commit(graph.sweep(batch.select("file_key"), keep))
+        store.commit(store.load().upsert_symbols(batch))
+        batch.select("file_key", "key").distinct().write.mode("overwrite").parquet(f"{folder}/flushed/batch={number}")
 
     run_batches(stream, folder, flush)
-    return store.load()
+    place = store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/flushed")
+    if not place.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return store.load()  # no batch came
+    flushed = store.spark.read.schema("file_key string, key string").parquet(f"{folder}/flushed/batch=*")
+    return store.commit(store.load().sweep(flushed.select("file_key"), flushed.select("key")))

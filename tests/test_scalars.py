@@ -28,7 +28,7 @@ def test_namespace(spark, path, namespace):
 
 @pytest.mark.parametrize("url, plain", [
     ("github:ann/tool", "https://github.com/ann/tool"), ("GITHUB:ann/tool", "https://github.com/ann/tool"), ("git+ssh://git@github.com/ann/tool.git", "https://github.com/ann/tool"),
-    ("ssh://" "git@dev.azure.com/o/p", "https://dev.azure.com/o/p"), ("git://github.com/ann/tool.GIT", "https://github.com/ann/tool"), ("git+https://tok:en@host/x.git", "https://host/x"),
+    ("ssh://git@dev.azure.com/o/p", "https://dev.azure.com/o/p"), ("git://github.com/ann/tool.GIT", "https://github.com/ann/tool"), ("git+https://tok:en@host/x.git", "https://host/x"),
     ("https://me@dev.azure.com/me/p", "https://dev.azure.com/me/p"), ("https://host/a@b", "https://host/a@b"), (None, None), ("", None),
 ])
 def test_repository_url(spark, url, plain):
