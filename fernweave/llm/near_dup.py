@@ -124,14 +124,15 @@ def near_duplicates(
     parts = cut(first.select(F.col("b").alias("doc_id"), "w1", "w2", part))
     sole = signed.join(parts, ["doc_id", "w1", "w2"])
     members = sole.select(F.struct("doc_id", "part").alias("text"), F.explode("bands").alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most")
-    buckets = cut(members.join(ends, "bucket").select("text", "bucket", "least"))
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")  # numbers only, of which most buckets have one
+    buckets = cut(members.join(several.select("bucket"), "bucket", "left_semi").select("text", "bucket"))
+    least = buckets.groupBy("bucket").agg(F.min("text").alias("least"))
 
     ids = parts.join(buckets.select("text.*").distinct(), ["doc_id", "part"], "left_semi")
     shape = f"doc_id {key_type}, w1 bigint, w2 bigint, shingles array<bigint>"
     sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), shape).join(ids, ["doc_id", "w1", "w2"])
     sets = cut(sets.groupBy("doc_id", "w1", "w2", "part").agg(F.first("shingles").alias("shingles")).select(F.struct("doc_id", "part").alias("text"), "shingles", F.size("shingles").alias("n")))
-    near = buckets.where("text.doc_id <> least.doc_id").select(F.col("text").alias("a"), F.col("least").alias("b")).distinct()
+    near = buckets.join(least, "bucket").where("text.doc_id <> least.doc_id").select(F.col("text").alias("a"), F.col("least").alias("b")).distinct()
     near = cut(_verified(near, sets, threshold))
 
     groups = cut(connected_components(near.select("a.doc_id", "b.doc_id").toDF("a", "b")))
