@@ -48,15 +48,20 @@ def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unresolved_edges(*_links(spark, sf_dir))
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations outside region 0 as projects, customers as files (of no project if in debt), parts as symbols, suppliers as dependencies, orders as commits, priorities as authors."""
+def _graph(spark: SparkSession, sf_dir: str, once: bool = True) -> Graph:
+    """Nations outside region 0 as projects, customers as files (of no project if in debt), parts as symbols, suppliers as dependencies, orders as commits, priorities as authors.
+
+    once: each declares edge is there once; not needed where it is only asked whether there is one.
+    """
     t = lambda name: table(spark, sf_dir, name)
     key = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
     projects = t("nation").where("n_regionkey > 0")
     owned = t("customer").where("c_acctbal >= 0").select(key("n", "c_nationkey").alias("src_key"), key("c", "c_custkey").alias("dst_key"))
-    bought = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(key("c", "o_custkey").alias("src_key"), key("p", "l_partkey").alias("dst_key")).distinct()
+    bought = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(key("c", "o_custkey").alias("src_key"), key("p", "l_partkey").alias("dst_key"))
+    if once:
+        bought = bought.distinct()
     base = Graph(spark)
-    shape = lambda rows, label: merge(base[label], rows, "name" if label == "author" else "hash" if label == "commit" else "key")
+    shape = lambda rows, label: base.merged(label, rows)
     return base.put(
         project=shape(projects.select(key("n", "n_nationkey").alias("key"), F.col("n_name").alias("name")), "project"),
         file=shape(t("customer").select(key("c", "c_custkey").alias("key"), key("c", "c_custkey").alias("path")), "file"),
@@ -166,12 +171,12 @@ UNION ALL SELECT 'project', count(*) FROM projects WHERE key = 'n3'"""
 @query(_PURGE)
 def purge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What purging one project removes, by kind."""
-    return _graph(spark, sf_dir).purge("n3")[1]
+    return _graph(spark, sf_dir, once=False).purge("n3")[1]
 
 
 @query(f"""SELECT sum(purged)::BIGINT AS total FROM ({_PURGE})""")
 def purge_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir).purge("n3")[1].agg(F.sum("purged").alias("total"))
+    return _graph(spark, sf_dir, once=False).purge("n3")[1].agg(F.sum("purged").alias("total"))
 
 
 @query("SELECT DISTINCT 's' || l_suppkey AS from_key, 'p' || l_partkey AS to_key, 'INVOKES' AS rel_type FROM lineitem")
@@ -222,6 +227,6 @@ def microbatch_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("key")).distinct()
     graph = Graph(spark)
-    store.commit(graph.put(file=merge(graph["file"], files, "key")).upsert_symbols(symbols(table(spark, sf_dir, "orders"))))
+    store.commit(graph.put(file=graph.merged("file", files)).upsert_symbols(symbols(table(spark, sf_dir, "orders"))))
     stream = open_stream(spark, f"{sf_dir}/orders.parquet", 1).where("o_orderstatus <> 'P'")
     return flush_symbols(symbols(stream), store, shared_folder(spark, "stream"))["declares"].select("src_key", "dst_key")

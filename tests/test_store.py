@@ -136,6 +136,40 @@ def test_purge_spares_authors_of_others_if_asked(graph):
     assert "Ann <a>" in keys(g["author"], "name")
 
 
+def test_purge_passes_over_the_edges_once(spark, sf_dir, monkeypatch):
+    from fernweave.operators import store
+    from fernweave.plans.graph_queries import purge_plan
+
+    plans, write = [], store.stored
+    monkeypatch.setattr(store, "stored", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows))
+    purge_plan(spark, sf_dir)
+    reads = lambda plan, column: sum("Relation [" in line and column in line for line in plan.splitlines())
+    symbols = next(p for p in plans if reads(p, "l_partkey"))
+    assert reads(symbols, "l_partkey") == 1 and "FullOuter" not in symbols and sum(reads(p, "l_partkey") for p in plans) == 1
+    commits = next(p for p in plans if reads(p, "o_orderkey") and p is not symbols)
+    assert reads(commits, "o_orderkey") == 2  # as nodes and as edges
+
+
+def test_purge_with_edges_at_commits_that_are_no_nodes(spark, graph):
+    loose = graph.put(
+        part_of_project=graph["part_of_project"].union(spark.createDataFrame([("gone", "r1"), (None, "r1"), ("h2", None)], "src_key string, dst_key string")),
+        committed=graph["committed"].union(spark.createDataFrame([("Cy", "gone"), ("Bob", None)], "src_key string, dst_key string")),
+    )
+    g, counts = loose.purge("r1")
+    assert {r.label: r.purged for r in counts.collect()} == {"symbol": 3, "file": 3, "dependency": 1, "commit": 2, "author": 2, "project": 1}
+    assert keys(g["author"], "name") == ["Ann", "Bob"] and keys(g["commit"], "hash") == ["h2", "h3"]
+
+
+def test_first_rows_of_a_table_are_joined_with_nothing(spark):
+    rows = spark.createDataFrame([("a", "x", None), (None, "y", True)], "key string, path string, deleted boolean")
+    first = Graph(spark).merged("file", rows)
+    assert "Join" not in first._jdf.queryExecution().optimizedPlan().toString()
+    want = merge(Graph(spark)["file"], rows, "key")
+    assert first.dtypes == want.dtypes and sorted(map(repr, first.collect())) == sorted(map(repr, want.collect()))
+    again = Graph(spark).put(file=first).merged("file", spark.createDataFrame([("a", "z")], "key string, path string"))
+    assert sorted(map(str, (r.path for r in again.collect()))) == ["y", "z"]
+
+
 def test_no_project_key(spark):
     g = Graph(spark).upsert_project(None, None).upsert_files(files(spark, ("a", "r1")))
     assert g["project"].count() == 0 and g["has_file"].count() == 0 and g["file"].count() == 1
